@@ -78,7 +78,7 @@ def _capture(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(found != "", found)
 
 
-def _first(value: Column, position: str = "pos") -> Column:
+def _first(value: Column, position: str) -> Column:
     """Aggregate: the value at the lowest position where it is not null."""
     return F.min(F.when(value.isNotNull(), F.struct(F.col(position), value.alias("text"))))
 
@@ -87,10 +87,10 @@ def _first(value: Column, position: str = "pos") -> Column:
 
 
 def tag_pages(pages: DataFrame, routed: DataFrame) -> DataFrame:
-    """Pages of routed documents with their layout and their non-blank lines as an array."""
+    """Pages of routed documents with their layout; blank lines are dropped from the text."""
     blank = f"[{P.WS}]*"
     dense = F.regexp_replace(F.col("page_text"), rf"\n{blank}\n", "\n")
-    dense = F.regexp_replace(dense, rf"^{blank}\n|\n{blank}\z", "")
+    dense = F.regexp_replace(dense, rf"^{blank}(?:\n|\z)|\n{blank}\z", "")
     return (
         pages.select(
             F.col("doc_id").cast("string").alias("doc_id"),
@@ -98,13 +98,13 @@ def tag_pages(pages: DataFrame, routed: DataFrame) -> DataFrame:
             "page_text",
         )
         .join(routed.select("doc_id", "layout"), "doc_id")
-        .select("doc_id", "layout", "page_number", F.split(dense, "\n").alias("lines"),
+        .select("doc_id", "layout", "page_number", dense.alias("text"),
                 F.col("page_text").rlike(rf"\n{blank}\z").alias("open_end"))
     )
 
 
 def page_lines(tagged: DataFrame) -> DataFrame:
-    """One row per non-blank line: position, text, and the neighbours on the same page."""
+    """One row per line: position, text, and the neighbours on the same page."""
     n = F.size("lines")
     zipped = F.arrays_zip(
         F.col("lines").alias("line"),
@@ -112,32 +112,30 @@ def page_lines(tagged: DataFrame) -> DataFrame:
         F.concat(F.array(F.lit(None).cast("string")), F.slice("lines", 1, n - 1)).alias("prior"),
     )
     return (
-        tagged.select("doc_id", "layout", "page_number", F.posexplode(zipped).alias("i", "z"))
+        tagged.filter(F.col("text") != "")
+        .select("doc_id", "layout", "page_number", F.split("text", "\n").alias("lines"))
+        .select("doc_id", "layout", "page_number", F.posexplode(zipped).alias("i", "z"))
         .select(
             "doc_id", "layout", "page_number",
             (F.col("page_number") * _PAGE_STRIDE + F.col("i")).alias("pos"),
             F.col("z.line").alias("line"),
-            F.concat(F.col("z.line"), F.lit("\n"),
-                     F.coalesce("z.following", F.lit(""))).alias("window"),
+            F.col("z.following").alias("following"),
             F.col("z.prior").alias("prior"),
         )
-        .filter(P.strip(F.col("line")) != "")
     )
 
 
 def page_seams(tagged: DataFrame) -> DataFrame:
     """Last line of a page joined to the first line of the next, for matches across a break."""
-    last = tagged.filter(F.element_at("lines", -1) != "").select(
-        "doc_id", "layout", "page_number",
-        (F.col("page_number") * _PAGE_STRIDE + F.size("lines") - 1).alias("pos"),
-        F.element_at("lines", -1).alias("tail"),
+    last = tagged.filter(F.col("text") != "").select(
+        "doc_id", "layout", "page_number", F.substring_index("text", "\n", -1).alias("tail")
     )
     first = tagged.filter(F.col("page_number") > 1).select(
         "doc_id", (F.col("page_number") - 1).alias("page_number"),
-        F.col("lines")[0].alias("head"),
+        F.substring_index("text", "\n", 1).alias("head"),
     )
     return last.join(first, ["doc_id", "page_number"]).select(
-        "doc_id", "layout", "pos", F.concat("tail", F.lit("\n"), "head").alias("window")
+        "doc_id", "layout", "page_number", F.concat("tail", F.lit("\n"), "head").alias("text")
     )
 
 
@@ -155,41 +153,42 @@ def _slot_column(name: str) -> str:
     return "t_" + name.rstrip("!")
 
 
-def _window_facts() -> dict[str, Column]:
-    """Values read from a two-line window, first occurrence per document."""
-    window = F.col("window")
-    facts = {}
+def _text_values() -> dict[str, Column]:
+    """Values printed once per document: the first match in a stretch of its text."""
+    text = F.col("text")
+    values = {}
     for name in _SLOTS:
-        facts[_slot_column(name)] = _by_layout(
+        values[_slot_column(name)] = _by_layout(
             lambda layout, name=name: None
             if layout.layout_id == L.COMBINED
-            else _capture(window, pattern)
+            else _capture(text, pattern)
             if (pattern := layout.labels.get(name) or layout.bridge.get(name))
             else None
         )
     card, fund = F.col("layout") == L.STANDARD_CARD, F.col("layout") == L.VANGUARD
     combined = F.col("layout") == L.COMBINED
-    facts["t_due"] = F.when(card, _capture(window, L.CARD_DUE_DATE))
-    facts["t_minimum"] = F.when(card, _capture(window, L.CARD_MINIMUM))
+    values["t_due"] = F.when(card, _capture(text, L.CARD_DUE_DATE))
+    values["t_minimum"] = F.when(card, _capture(text, L.CARD_MINIMUM))
     for group, name in ((1, "t_start"), (2, "t_end")):
-        facts[name] = F.when(fund, _capture(window, L.FUND_PERIOD, group)).when(
-            combined, _capture(window, L.COMBINED_PERIOD, group)
+        values[name] = F.when(fund, _capture(text, L.FUND_PERIOD, group)).when(
+            combined, _capture(text, L.COMBINED_PERIOD, group)
         )
-    facts["t_total"] = F.when(combined, _capture(window, L.COMBINED_TOTAL))
-    facts["t_checking"] = F.when(combined, _capture(window, L.CHECKING_MASK))
-    facts["t_savings"] = F.when(combined, _capture(window, L.SAVINGS_MASK))
-    return facts
+    values["t_total"] = F.when(combined, _capture(text, L.COMBINED_TOTAL))
+    values["t_checking"] = F.when(combined, _capture(text, L.CHECKING_MASK))
+    values["t_savings"] = F.when(combined, _capture(text, L.SAVINGS_MASK))
+    return values
 
 
-def _fund_values() -> dict[str, Column]:
-    """Distinct-value tests: lowest and highest mask and registration of a fund statement."""
+def _text_aggregates() -> list[Column]:
+    """First values, plus lowest and highest fund mask and registration (distinct-value tests)."""
     fund = F.col("layout") == L.VANGUARD
-    masks = F.when(fund, F.regexp_extract_all("window", F.lit(L.FUND_MASK), 1))
-    kinds = F.when(fund, F.regexp_extract_all("window", F.lit(L.FUND_REGISTRATION), 1))
-    return {
-        "mask_low": F.min(F.array_min(masks)), "mask_high": F.max(F.array_max(masks)),
-        "kind_low": F.min(F.array_min(kinds)), "kind_high": F.max(F.array_max(kinds)),
-    }
+    masks = F.when(fund, F.regexp_extract_all("text", F.lit(L.FUND_MASK), 1))
+    kinds = F.when(fund, F.regexp_extract_all("text", F.lit(L.FUND_REGISTRATION), 1))
+    return [
+        *[_first(value, "page_number").alias(name) for name, value in _text_values().items()],
+        F.min(F.array_min(masks)).alias("mask_low"), F.max(F.array_max(masks)).alias("mask_high"),
+        F.min(F.array_min(kinds)).alias("kind_low"), F.max(F.array_max(kinds)).alias("kind_high"),
+    ]
 
 
 def _section(layout: L.Layout, index: int) -> L.Section | None:
@@ -215,100 +214,114 @@ def _is_end(index: int) -> Column:
     return F.coalesce(_section_case(index, build), F.lit(False))
 
 
-def _row_text(index: int) -> Column:
-    """Line as table text: what an end mark or a total leaves in front of it."""
-    line = F.col("line")
-
+def _before_end(index: int) -> Column:
+    """What an end line leaves in front of its mark."""
     def build(section: L.Section) -> Column:
-        text = F.regexp_replace(line, f"(?:{section.end}).*", "")
+        pattern = section.end
         if section.end_unless_first:
-            first = F.coalesce(F.col("prior").rlike(section.start), F.lit(False))
-            text = F.when(line.rlike(section.end_unless_first) & ~first, "").otherwise(text)
-        return text
+            pattern = f"{section.end}|{section.end_unless_first}"
+        return F.regexp_replace(F.col("line"), f"(?:{pattern}).*", "")
 
     return _section_case(index, build)
 
 
-def document_facts(lines: DataFrame, seams: DataFrame) -> DataFrame:
-    """First pass: labelled values, markers and section starts, one row per document."""
-    line, pos = F.col("line"), F.col("pos")
-    window_facts = _window_facts()
+def document_facts(tagged: DataFrame) -> DataFrame:
+    """Printed values and markers, one row per document."""
+    text = F.col("text")
     most = max(len(layout.markers) for layout in L.LAYOUTS.values())
     markers = {
         f"has_marker_{i}": F.max(_by_layout(
-            lambda layout, i=i: line.contains(layout.markers[i])
+            lambda layout, i=i: text.contains(layout.markers[i])
             if i < len(layout.markers) else F.lit(True)
         ))
         for i in range(most)
     }
-    starts = {}
-    for index, name in enumerate(("a", "b")):
-        starts[f"{name}_start"] = F.min(
-            F.when(_section_case(index, lambda s: line.rlike(s.start)), pos)
-        )
-        starts[f"{name}_gate"] = F.max(
-            _section_case(index, lambda s: line.rlike(s.gate) if s.gate else None)
-        )
-    combined = F.col("layout") == L.COMBINED
-    for name, pattern in zip(("c", "d"), L.SUMMARY_STARTS, strict=True):
-        starts[f"{name}_start"] = F.min(F.when(combined & line.rlike(pattern), pos))
+    gate = F.max(_section_case(1, lambda s: text.rlike(f"(?m){s.gate}") if s.gate else None))
     bridge = F.max(_by_layout(
-        lambda layout: line.rlike(layout.bridge_gate) if layout.bridge_gate else None
+        lambda layout: text.rlike(layout.bridge_gate) if layout.bridge_gate else None
     ))
-    in_page = lines.groupBy("doc_id").agg(
-        *[_first(value).alias(name) for name, value in window_facts.items()],
-        *[value.alias(name) for name, value in _fund_values().items()],
-        *[value.alias(name) for name, value in {**markers, **starts}.items()],
-        bridge.alias("has_bridge"),
-        F.max("pos").alias("last_pos"),
-    )
-    across = seams.groupBy("doc_id").agg(
-        *[_first(value).alias(f"s_{name}") for name, value in window_facts.items()],
-        *[value.alias(f"s_{name}") for name, value in _fund_values().items()],
-    )
-    lows = ("mask_low", "kind_low")
-    highs = ("mask_high", "kind_high")
+    in_page = tagged.groupBy("doc_id").agg(
+        *_text_aggregates(),
+        *[value.alias(name) for name, value in markers.items()],
+        gate.alias("b_gate"), bridge.alias("has_bridge"),
+        F.max("page_number").alias("last_page"),
+        F.max_by("open_end", "page_number").alias("open_end"),
+    )
+    names = list(_text_values())
+    lows, highs = ["mask_low", "kind_low"], ["mask_high", "kind_high"]
+    across = page_seams(tagged).groupBy("doc_id").agg(*_text_aggregates()).select(
+        "doc_id", *[F.col(name).alias(f"s_{name}") for name in (*names, *lows, *highs)]
+    )
+    # Of a page's own match and the match over its lower edge, the page's own stands first.
     return in_page.join(across, "doc_id", "left").select(
         "doc_id",
-        *[F.least(name, f"s_{name}")["text"].alias(name) for name in window_facts],
+        *[
+            F.when(F.col(f"s_{name}.page_number") < F.col(f"{name}.page_number"),
+                   F.col(f"s_{name}.text"))
+            .otherwise(F.coalesce(f"{name}.text", f"s_{name}.text")).alias(name)
+            for name in names
+        ],
         *[F.least(name, f"s_{name}").alias(name) for name in lows],
         *[F.greatest(name, f"s_{name}").alias(name) for name in highs],
-        *markers, *starts, "has_bridge", "last_pos",
+        *markers, "b_gate", "has_bridge", "last_page", "open_end",
+    )
+
+
+def section_starts(lines: DataFrame) -> DataFrame:
+    """First pass over lines: where each section's title stands."""
+    line, pos = F.col("line"), F.col("pos")
+    combined = F.col("layout") == L.COMBINED
+    starts = {
+        f"{name}_start": F.min(F.when(_section_case(i, lambda s: line.rlike(s.start)), pos))
+        for i, name in enumerate(("a", "b"))
+    }
+    starts |= {
+        f"{name}_start": F.min(F.when(combined & line.rlike(pattern), pos))
+        for name, pattern in zip(("c", "d"), L.SUMMARY_STARTS, strict=True)
+    }
+    return lines.groupBy("doc_id").agg(
+        *[value.alias(name) for name, value in starts.items()], F.max("pos").alias("last_pos")
     )
 
 
-def section_facts(lines: DataFrame, facts: DataFrame) -> DataFrame:
-    """Second pass: section ends, header lines, printed totals and combined summary amounts."""
-    pos = F.col("pos")
-    starts = facts.select("doc_id", "a_start", "b_start", "c_start", "d_start")
-    located = lines.join(starts, "doc_id")
+
+_TOTAL_LINE = r"(?i)(?:Holdings|Positions) Total:.*"
+
+
+def section_facts(lines: DataFrame, starts: DataFrame) -> DataFrame:
+    """Second pass over lines: section ends, header lines, printed totals and combined summary amounts."""
+    pos, line = F.col("pos"), F.col("line")
+    window = F.concat(line, F.lit("\n"), F.coalesce("following", F.lit("")))
+    located = lines.join(starts.drop("last_pos"), "doc_id").withColumns({
+        "window": window, "a_is_end": _is_end(0), "b_is_end": _is_end(1),
+    })
     out = {}
     for index, name in enumerate(("a", "b")):
         after = pos > F.col(f"{name}_start")
-        text = _row_text(index)
-        total = _section_case(
-            index, lambda s: _capture(F.col("window"), s.total) if s.total else None
-        ) if index else F.lit(None).cast("string")
-        total_line = _section_case(
-            index, lambda s: F.col("line").rlike(s.total_line) if s.total_line else None
-        ) if index else F.lit(False)
-        head = F.regexp_replace(
-            text, r"(?i)(?:Holdings|Positions) Total:.*", ""
-        ) if index else text
-        out[f"{name}_end"] = F.min(F.when(after & _is_end(index), pos))
-        out[f"{name}_head"] = _first(F.when(after & (P.strip(head) != ""), P.strip(head)))
+        is_end = F.col(f"{name}_is_end")
+        head = F.when(is_end, _before_end(index)).otherwise(line)
         if index:
-            out[f"{name}_total"] = _first(F.when(after, total))
-            out[f"{name}_total_pos"] = F.min(F.when(after & total_line, pos))
+            is_total = _section_case(
+                index, lambda s: line.rlike(s.total_line) if s.total_line else None
+            )
+            total = _section_case(
+                index, lambda s: _capture(F.col("window"), s.total) if s.total else None
+            )
+            out["b_total"] = _first(F.when(after, total), "pos")
+            out["b_total_pos"] = F.min(F.when(after & is_total, pos))
+            head = F.when(is_total, F.regexp_replace(line, _TOTAL_LINE, "")).otherwise(head)
+        out[f"{name}_end"] = F.min(F.when(after & is_end, pos))
+        filled = F.when(after, F.when(F.trim(head) != "", head))
+        out[f"{name}_head"] = _first(filled, "pos")
     combined = F.col("layout") == L.COMBINED
-    ends = combined & F.col("line").rlike(L.SUMMARY_ENDS)
+    ends = combined & line.rlike(L.SUMMARY_ENDS)
     for name in ("c", "d"):
         start = F.col(f"{name}_start")
         out[f"{name}_end"] = F.min(F.when(ends & (pos > start), pos))
         # The first label after the title counts if it stands before the section's end.
         for label, pattern in L.COMBINED_LABELS.items():
             value = F.when(combined & (pos >= start), _capture(F.col("window"), pattern))
-            out[f"{name}_{label}"] = _first(value)
+            out[f"{name}_{label}"] = _first(value, "pos")
     return located.groupBy("doc_id").agg(*[v.alias(k) for k, v in out.items()])
 
 
@@ -546,17 +559,12 @@ def check_table(rows: DataFrame, headers: Column, cells: Column,
 
 
 def _documents(routed: DataFrame, tagged: DataFrame, lines: DataFrame) -> DataFrame:
-    facts = document_facts(lines, page_seams(tagged))
-    sections = section_facts(lines, facts)
-    bounds = facts.join(sections, "doc_id")
-    breaks = tagged.groupBy("doc_id").agg(
-        F.max("page_number").alias("last_page"),
-        F.max_by("open_end", "page_number").alias("open_end"),
-    )
+    starts = section_starts(lines)
     docs = (
         header_facts(routed)
-        .join(bounds, "doc_id", "left")
-        .join(breaks, "doc_id", "left")
+        .join(document_facts(tagged), "doc_id")
+        .join(starts, "doc_id", "left")
+        .join(section_facts(lines, starts), "doc_id", "left")
     )
     combined_slots = [(key, label) for key in ("c", "d") for label in L.COMBINED_LABELS]
     docs = docs.withColumns({
@@ -609,8 +617,8 @@ def _documents(routed: DataFrame, tagged: DataFrame, lines: DataFrame) -> DataFr
     return docs.withColumns({
         "a_head_pos": F.when(inside("a"), F.col("a_head.pos")),
         "b_head_pos": F.when(inside("b"), F.col("b_head.pos")),
-        "a_head": F.when(inside("a"), F.col("a_head.text")),
-        "b_head": F.when(inside("b"), F.col("b_head.text")),
+        "a_head": F.when(inside("a"), P.strip(F.col("a_head.text"))),
+        "b_head": F.when(inside("b"), P.strip(F.col("b_head.text"))),
         "t_holdings": F.when(total_inside, F.col("b_total.text")),
     })
 
@@ -719,11 +727,11 @@ def _section_rows(lines: DataFrame, docs: DataFrame) -> DataFrame:
         F.when(on_title, F.regexp_replace(
             c("line"), "^.*?(?:CHECKING|SAVINGS) TRANSACTION DETAILS", ""
         ))
-        .when((c("section") == 1) & (pos == c("b_total_pos")), F.regexp_replace(
-            c("line"), r"(?i)(?:Holdings|Positions) Total:.*", ""
-        ))
-        .when(c("section") == 1, _row_text(1))
-        .otherwise(_row_text(0))
+        .when((c("section") == 1) & (pos == c("b_total_pos")),
+              F.regexp_replace(c("line"), _TOTAL_LINE, ""))
+        .when((c("section") == 1) & (pos == c("b_end")), _before_end(1))
+        .when((c("section") == 0) & (pos == c("a_end")), _before_end(0))
+        .otherwise(c("line"))
     )
     upper = F.upper(c("text"))
     combined_header = is_combined & (
