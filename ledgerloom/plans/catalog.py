@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import queries_ledger
+from ledgerloom.plans import queries_checks, queries_ledger, queries_text
 
-MODULES = (queries_ledger,)
+MODULES = (queries_ledger, queries_checks, queries_text)
 
 
 def all_queries() -> dict[str, tuple]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -38,6 +40,8 @@ FEE_PHRASES = {
 }
 
 
+# Only plans are kept here, never rows: building one anew means reading file footers again.
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,6 +50,7 @@ def price_cents(col: Column) -> Column:
     return F.round(col * 100).cast("bigint")
 
 
+@lru_cache(maxsize=8)
 def derived_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
@@ -92,6 +97,7 @@ def phrase_of(domain: Column, category: Column, amount: Column) -> Column:
     return out
 
 
+@lru_cache(maxsize=8)
 def derived_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One signed line per order, without line number or running balance."""
     orders = table(spark, sf_dir, "orders").select(
@@ -133,6 +139,7 @@ def derived_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=8)
 def derived_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries plus line number in the statement and running balance of the account.
 
@@ -230,6 +237,7 @@ def derived_holdings(spark: SparkSession, sf_dir: str, entries: DataFrame) -> Da
     )
 
 
+@lru_cache(maxsize=8)
 def derive_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
     entries = derived_entries(spark, sf_dir)
     lines = derived_lines(spark, sf_dir)

@@ -20,57 +20,69 @@ MODEL = "ValidationError"
 VALUE = "ValueError"
 NO_MATCH = "ADAPTER_MATCH_FAILED"
 
-RAW_PAYLOADS = T.StructType.fromDDL(
+_TYPES = {
+    "string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(),
+    "date": T.DateType(), "timestamp": T.TimestampType(),
+}
+
+
+def _schema(columns: str) -> T.StructType:
+    """Schema from ``name type`` pairs, without needing a running session."""
+    pairs = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+RAW_PAYLOADS = _schema(
     "raw_payload_id string, content_sha256 string, byte_length bigint, "
     "original_basename string, ingested_at timestamp"
 )
-EXTRACTION_RUNS = T.StructType.fromDDL(
+EXTRACTION_RUNS = _schema(
     "run_id string, raw_payload_id string, adapter_id string, adapter_version string, "
     "started_at timestamp, status string, error_code string, error_message string"
 )
-RAW_PAGES = T.StructType.fromDDL("doc_id bigint, page_number int, page_text string")
-RAW_TOKENS = T.StructType.fromDDL(
+RAW_PAGES = _schema("doc_id bigint, page_number int, page_text string")
+RAW_TOKENS = _schema(
     "raw_token_id string, raw_page_id string, token_kind string, token_text string, "
     "x0_mp bigint, y0_mp bigint, x1_mp bigint, y1_mp bigint, "
     "table_index int, row_index int, col_index int"
 )
-ACCOUNTS = T.StructType.fromDDL(
+ACCOUNTS = _schema(
     "account_id string, institution string, account_mask string, account_domain string, "
     "account_type string, currency string"
 )
-STATEMENTS = T.StructType.fromDDL(
+STATEMENTS = _schema(
     "statement_id string, account_id string, account_domain string, run_id string, "
     "raw_payload_id string, statement_start_date date, statement_end_date date, "
     "opening_balance_cents bigint, closing_balance_cents bigint, net_change_cents bigint"
 )
-DEPOSITORY_SUMMARIES = T.StructType.fromDDL(
+DEPOSITORY_SUMMARIES = _schema(
     "statement_id string, deposits_cents bigint, withdrawals_cents bigint, "
     "interest_paid_cents bigint, fees_cents bigint"
 )
-CREDIT_SUMMARIES = T.StructType.fromDDL(
+CREDIT_SUMMARIES = _schema(
     "statement_id string, previous_balance_cents bigint, payments_credits_cents bigint, "
     "purchases_cents bigint, cash_advances_cents bigint, balance_transfers_cents bigint, "
     "fees_charged_cents bigint, interest_charged_cents bigint, new_balance_cents bigint, "
     "minimum_payment_due_cents bigint, payment_due_date date"
 )
-BROKERAGE_SUMMARIES = T.StructType.fromDDL(
+BROKERAGE_SUMMARIES = _schema(
     "statement_id string, opening_cash_cents bigint, closing_cash_cents bigint, "
     "opening_portfolio_cents bigint, closing_portfolio_cents bigint, "
     "realized_gains_cents bigint, unrealized_gains_cents bigint, "
     "income_dividends_cents bigint, transfers_in_cents bigint, transfers_out_cents bigint"
 )
-TRANSACTIONS = T.StructType.fromDDL(
+TRANSACTIONS = _schema(
     "transaction_id string, statement_id string, line_no bigint, post_date date, "
     "transaction_date date, amount_cents bigint, description string, "
     "transaction_category string, balance_after_cents bigint"
 )
-HOLDINGS = T.StructType.fromDDL(
+HOLDINGS = _schema(
     "holding_id string, statement_id string, as_of_date date, symbol string, "
     "description string, quantity_nanos bigint, market_value_cents bigint, "
     "cost_basis_cents bigint"
 )
-ENVELOPES = T.StructType.fromDDL("envelope_id string, name string, balance_cents bigint")
-VIOLATIONS = T.StructType.fromDDL(
+ENVELOPES = _schema("envelope_id string, name string, balance_cents bigint")
+VIOLATIONS = _schema(
     "doc_id string, stage int, seq bigint, code string, message string"
 )
 
