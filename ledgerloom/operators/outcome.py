@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import reconcile as V
+from ledgerloom.operators.document_checks import COMBINED_TOTAL_STAGE
 from ledgerloom.operators.layouts import LAYOUT_VERSION
-from ledgerloom.operators.parse import COMBINED_TOTAL_STAGE, ParsedLedger, parse_statements
+from ledgerloom.operators.parse import ParsedLedger, parse_statements
 from ledgerloom.schemas import Ledger
 
 

@@ -1,16 +1,13 @@
 """Page text to typed ledger rows: one Spark job over the pages of all documents.
 
-Pages become lines early and stay lines. A document is never glued together into one value:
-labelled amounts, section bounds and header facts are small aggregates per document, and table
+Labelled amounts, section bounds and header facts are small aggregates per document, and table
 rows are the lines between two bounds. So a document (or a feed that gives one id to a third of
 all pages) is spread over as many tasks as its lines need.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,31 +21,30 @@ from ledgerloom.functions.categorize import (
     categorize_vanguard,
 )
 from ledgerloom.operators import layouts as L
+from ledgerloom.operators.document_checks import (
+    PART_STRIDE,
+    POSITIONS_RAGGED,
+    POSITIONS_ROW,
+    RAGGED,
+    ROW,
+    document_violations,
+)
+from ledgerloom.operators.document_facts import (
+    BROKERAGE_LAYOUTS,
+    DEPOSITORY_LAYOUTS,
+    TOTAL_LINE,
+    before_end,
+    by_layout,
+    documents,
+    page_lines,
+    tag_pages,
+)
 from ledgerloom.operators.routing import route_exclusive
 from ledgerloom.operators.running import running_totals
 from ledgerloom.rules import BROKERAGE, CARD, DEPOSITORY, domain_of_type, sign_violation
-from ledgerloom.schemas import (
-    AMBIGUOUS,
-    INVARIANT,
-    MISSING_SECTION,
-    MODEL,
-    SCHEMA_DRIFT,
-    TOKEN,
-    VALUE,
-    Ledger,
-)
+from ledgerloom.schemas import MODEL, SCHEMA_DRIFT, TOKEN, Ledger
 from ledgerloom.sources.stage import staged
 
-# Stages in the order a document meets them. Part p of a combined document adds 1000 * p.
-MARKERS, HEADER, SUMMARY, STATEMENT, TABLE, RAGGED, ROW = 10, 20, 30, 35, 40, 41, 50
-POSITIONS, POSITIONS_RAGGED, POSITIONS_ROW, POSITIONS_TOTAL = 80, 81, 82, 83
-COMBINED_TOTAL_STAGE = 3000
-_PART = 1000
-
-_PAGE_STRIDE = 1 << 32
-_DEPOSITORY_LAYOUTS = (L.STANDARD_DEPOSITORY, L.CHASE_DEPOSITORY)
-_BROKERAGE_LAYOUTS = (L.SCHWAB, L.VANGUARD)
-
 
 @dataclass(frozen=True)
 class ParsedLedger:
@@ -63,566 +59,6 @@ class ParsedLedger:
     refused: DataFrame
 
 
-def _by_layout(choose: Callable[[L.Layout], Column | None]) -> Column:
-    """CASE over the layout column; only the branch of a row's own layout is evaluated."""
-    out = F
-    for layout in L.LAYOUTS.values():
-        value = choose(layout)
-        if value is not None:
-            out = out.when(F.col("layout") == layout.layout_id, value)
-    return F.lit(None) if out is F else out
-
-
-def _capture(text: Column, pattern: str, group: int = 1) -> Column:
-    found = F.regexp_extract(text, pattern, group)
-    return F.when(found != "", found)
-
-
-def _first(value: Column, position: str) -> Column:
-    """Aggregate: the value at the lowest position where it is not null."""
-    return F.min(F.when(value.isNotNull(), F.struct(F.col(position), value.alias("text"))))
-
-
-# ---------------------------------------------------------------- lines
-
-
-def tag_pages(pages: DataFrame, routed: DataFrame) -> DataFrame:
-    """Pages of routed documents with their layout; blank lines are dropped from the text."""
-    blank = f"[{P.WS}]*"
-    dense = F.regexp_replace(F.col("page_text"), rf"\n{blank}\n", "\n")
-    dense = F.regexp_replace(dense, rf"^{blank}(?:\n|\z)|\n{blank}\z", "")
-    return (
-        pages.select(
-            F.col("doc_id").cast("string").alias("doc_id"),
-            F.col("page_number").cast("bigint").alias("page_number"),
-            "page_text",
-        )
-        .join(routed.select("doc_id", "layout"), "doc_id")
-        .select("doc_id", "layout", "page_number", dense.alias("text"),
-                F.col("page_text").rlike(rf"\n{blank}\z").alias("open_end"))
-    )
-
-
-def page_lines(tagged: DataFrame) -> DataFrame:
-    """One row per line: position, text, and the neighbours on the same page."""
-    n = F.size("lines")
-    zipped = F.arrays_zip(
-        F.col("lines").alias("line"),
-        F.slice("lines", 2, n).alias("following"),
-        F.concat(F.array(F.lit(None).cast("string")), F.slice("lines", 1, n - 1)).alias("prior"),
-    )
-    return (
-        tagged.filter(F.col("text") != "")
-        .select("doc_id", "layout", "page_number", F.split("text", "\n").alias("lines"))
-        .select("doc_id", "layout", "page_number", F.posexplode(zipped).alias("i", "z"))
-        .select(
-            "doc_id", "layout", "page_number",
-            (F.col("page_number") * _PAGE_STRIDE + F.col("i")).alias("pos"),
-            F.col("z.line").alias("line"),
-            F.col("z.following").alias("following"),
-            F.col("z.prior").alias("prior"),
-        )
-    )
-
-
-def page_seams(tagged: DataFrame) -> DataFrame:
-    """Last line of a page joined to the first line of the next, for matches across a break."""
-    last = tagged.filter(F.col("text") != "").select(
-        "doc_id", "layout", "page_number", F.substring_index("text", "\n", -1).alias("tail")
-    )
-    first = tagged.filter(F.col("page_number") > 1).select(
-        "doc_id", (F.col("page_number") - 1).alias("page_number"),
-        F.substring_index("text", "\n", 1).alias("head"),
-    )
-    return last.join(first, ["doc_id", "page_number"]).select(
-        "doc_id", "layout", "page_number", F.concat("tail", F.lit("\n"), "head").alias("text")
-    )
-
-
-# ---------------------------------------------------------------- facts per document
-
-_SLOTS = sorted({
-    name
-    for layout in L.LAYOUTS.values()
-    if layout.layout_id != L.COMBINED
-    for name in (*layout.labels, *layout.bridge)
-})
-
-
-def _slot_column(name: str) -> str:
-    return "t_" + name.rstrip("!")
-
-
-def _text_values() -> dict[str, Column]:
-    """Values printed once per document: the first match in a stretch of its text."""
-    text = F.col("text")
-    values = {}
-    for name in _SLOTS:
-        values[_slot_column(name)] = _by_layout(
-            lambda layout, name=name: None
-            if layout.layout_id == L.COMBINED
-            else _capture(text, pattern)
-            if (pattern := layout.labels.get(name) or layout.bridge.get(name))
-            else None
-        )
-    card, fund = F.col("layout") == L.STANDARD_CARD, F.col("layout") == L.VANGUARD
-    combined = F.col("layout") == L.COMBINED
-    values["t_due"] = F.when(card, _capture(text, L.CARD_DUE_DATE))
-    values["t_minimum"] = F.when(card, _capture(text, L.CARD_MINIMUM))
-    for group, name in ((1, "t_start"), (2, "t_end")):
-        values[name] = F.when(fund, _capture(text, L.FUND_PERIOD, group)).when(
-            combined, _capture(text, L.COMBINED_PERIOD, group)
-        )
-    values["t_total"] = F.when(combined, _capture(text, L.COMBINED_TOTAL))
-    values["t_checking"] = F.when(combined, _capture(text, L.CHECKING_MASK))
-    values["t_savings"] = F.when(combined, _capture(text, L.SAVINGS_MASK))
-    return values
-
-
-def _text_aggregates() -> list[Column]:
-    """First values, plus lowest and highest fund mask and registration (distinct-value tests)."""
-    fund = F.col("layout") == L.VANGUARD
-    masks = F.when(fund, F.regexp_extract_all("text", F.lit(L.FUND_MASK), 1))
-    kinds = F.when(fund, F.regexp_extract_all("text", F.lit(L.FUND_REGISTRATION), 1))
-    return [
-        *[_first(value, "page_number").alias(name) for name, value in _text_values().items()],
-        F.min(F.array_min(masks)).alias("mask_low"), F.max(F.array_max(masks)).alias("mask_high"),
-        F.min(F.array_min(kinds)).alias("kind_low"), F.max(F.array_max(kinds)).alias("kind_high"),
-    ]
-
-
-def _section(layout: L.Layout, index: int) -> L.Section | None:
-    return layout.sections[index] if index < len(layout.sections) else None
-
-
-def _section_case(index: int, build: Callable[[L.Section], Column | None]) -> Column:
-    return _by_layout(
-        lambda layout: build(section) if (section := _section(layout, index)) else None
-    )
-
-
-def _is_end(index: int) -> Column:
-    line, prior = F.col("line"), F.col("prior")
-
-    def build(section: L.Section) -> Column:
-        hit = line.rlike(section.end)
-        if section.end_unless_first:
-            after_title = F.coalesce(prior.rlike(section.start), F.lit(False))
-            hit = hit | (line.rlike(section.end_unless_first) & ~after_title)
-        return hit
-
-    return F.coalesce(_section_case(index, build), F.lit(False))
-
-
-def _before_end(index: int) -> Column:
-    """What an end line leaves in front of its mark."""
-    def build(section: L.Section) -> Column:
-        pattern = section.end
-        if section.end_unless_first:
-            pattern = f"{section.end}|{section.end_unless_first}"
-        return F.regexp_replace(F.col("line"), f"(?:{pattern}).*", "")
-
-    return _section_case(index, build)
-
-
-def document_facts(tagged: DataFrame) -> DataFrame:
-    """Printed values and markers, one row per document."""
-    text = F.col("text")
-    most = max(len(layout.markers) for layout in L.LAYOUTS.values())
-    markers = {
-        f"has_marker_{i}": F.max(_by_layout(
-            lambda layout, i=i: text.contains(layout.markers[i])
-            if i < len(layout.markers) else F.lit(True)
-        ))
-        for i in range(most)
-    }
-    gate = F.max(_section_case(1, lambda s: text.rlike(f"(?m){s.gate}") if s.gate else None))
-    bridge = F.max(_by_layout(
-        lambda layout: text.rlike(layout.bridge_gate) if layout.bridge_gate else None
-    ))
-    in_page = tagged.groupBy("doc_id").agg(
-        *_text_aggregates(),
-        *[value.alias(name) for name, value in markers.items()],
-        gate.alias("b_gate"), bridge.alias("has_bridge"),
-        F.max("page_number").alias("last_page"),
-        F.max_by("open_end", "page_number").alias("open_end"),
-    )
-    names = list(_text_values())
-    lows, highs = ["mask_low", "kind_low"], ["mask_high", "kind_high"]
-    across = page_seams(tagged).groupBy("doc_id").agg(*_text_aggregates()).select(
-        "doc_id", *[F.col(name).alias(f"s_{name}") for name in (*names, *lows, *highs)]
-    )
-    # Of a page's own match and the match over its lower edge, the page's own stands first.
-    return in_page.join(across, "doc_id", "left").select(
-        "doc_id",
-        *[
-            F.when(F.col(f"s_{name}.page_number") < F.col(f"{name}.page_number"),
-                   F.col(f"s_{name}.text"))
-            .otherwise(F.coalesce(f"{name}.text", f"s_{name}.text")).alias(name)
-            for name in names
-        ],
-        *[F.least(name, f"s_{name}").alias(name) for name in lows],
-        *[F.greatest(name, f"s_{name}").alias(name) for name in highs],
-        *markers, "b_gate", "has_bridge", "last_page", "open_end",
-    )
-
-
-def section_starts(lines: DataFrame) -> DataFrame:
-    """First pass over lines: where each section's title stands."""
-    line, pos = F.col("line"), F.col("pos")
-    combined = F.col("layout") == L.COMBINED
-    starts = {
-        f"{name}_start": F.min(F.when(_section_case(i, lambda s: line.rlike(s.start)), pos))
-        for i, name in enumerate(("a", "b"))
-    }
-    starts |= {
-        f"{name}_start": F.min(F.when(combined & line.rlike(pattern), pos))
-        for name, pattern in zip(("c", "d"), L.SUMMARY_STARTS, strict=True)
-    }
-    return lines.groupBy("doc_id").agg(
-        *[value.alias(name) for name, value in starts.items()], F.max("pos").alias("last_pos")
-    )
-
-
-
-_TOTAL_LINE = r"(?i)(?:Holdings|Positions) Total:.*"
-
-
-def section_facts(lines: DataFrame, starts: DataFrame) -> DataFrame:
-    """Second pass over lines: section ends, header lines, printed totals and combined summary amounts."""
-    pos, line = F.col("pos"), F.col("line")
-    window = F.concat(line, F.lit("\n"), F.coalesce("following", F.lit("")))
-    located = lines.join(starts.drop("last_pos"), "doc_id").withColumns({
-        "window": window, "a_is_end": _is_end(0), "b_is_end": _is_end(1),
-    })
-    out = {}
-    for index, name in enumerate(("a", "b")):
-        after = pos > F.col(f"{name}_start")
-        is_end = F.col(f"{name}_is_end")
-        head = F.when(is_end, _before_end(index)).otherwise(line)
-        if index:
-            is_total = _section_case(
-                index, lambda s: line.rlike(s.total_line) if s.total_line else None
-            )
-            total = _section_case(
-                index, lambda s: _capture(F.col("window"), s.total) if s.total else None
-            )
-            out["b_total"] = _first(F.when(after, total), "pos")
-            out["b_total_pos"] = F.min(F.when(after & is_total, pos))
-            head = F.when(is_total, F.regexp_replace(line, _TOTAL_LINE, "")).otherwise(head)
-        out[f"{name}_end"] = F.min(F.when(after & is_end, pos))
-        filled = F.when(after, F.when(F.trim(head) != "", head))
-        out[f"{name}_head"] = _first(filled, "pos")
-    combined = F.col("layout") == L.COMBINED
-    ends = combined & line.rlike(L.SUMMARY_ENDS)
-    for name in ("c", "d"):
-        start = F.col(f"{name}_start")
-        out[f"{name}_end"] = F.min(F.when(ends & (pos > start), pos))
-        # The first label after the title counts if it stands before the section's end.
-        for label, pattern in L.COMBINED_LABELS.items():
-            value = F.when(combined & (pos >= start), _capture(F.col("window"), pattern))
-            out[f"{name}_{label}"] = _first(value, "pos")
-    return located.groupBy("doc_id").agg(*[v.alias(k) for k, v in out.items()])
-
-
-# ---------------------------------------------------------------- header of page one
-
-
-def header_facts(routed: DataFrame) -> DataFrame:
-    """Masks, account type words and period as printed on the first page."""
-    page = F.col("page_one")
-    upper = F.upper(page)
-
-    def case(depository: Column, card: Column, schwab: Column) -> Column:
-        return (
-            F.when(F.col("layout").isin(*_DEPOSITORY_LAYOUTS), depository)
-            .when(F.col("layout") == L.STANDARD_CARD, card)
-            .when(F.col("layout") == L.SCHWAB, schwab)
-        )
-
-    def masks(pattern: str) -> Column:
-        return F.array_distinct(F.regexp_extract_all(page, F.lit(pattern), 1))
-
-    both_bank = page.rlike(r"(?i)Checking\s+(?:Account\s+)?Summary") & page.rlike(
-        r"(?i)Savings\s+(?:Account\s+)?Summary"
-    )
-    both_brokerage = page.rlike(r"(?i)Brokerage\s+Cash\s+Summary") & page.rlike(
-        r"(?i)Margin\s+Account\s+Summary"
-    )
-    bank_type = F.when(upper.contains("CHECKING"), F.lit("checking")).when(
-        upper.contains("SAVINGS"), F.lit("savings")
-    )
-    brokerage_type = F.when(upper.contains("MARGIN"), F.lit("brokerage_margin")).otherwise(
-        F.lit("brokerage_cash")
-    )
-
-    def period(group: int) -> Column:
-        near = _capture(page, L.PERIOD, group)
-        return case(near, near, _capture(page, L.PERIOD_ANYWHERE, group))
-
-    return routed.select(
-        "doc_id", "layout",
-        case(masks(L.DEPOSITORY_MASK), masks(L.CARD_MASK), masks(L.BROKERAGE_MASK)).alias("masks"),
-        case(both_bank, F.lit(False), both_brokerage).alias("both_accounts"),
-        case(bank_type, F.lit("credit_card"), brokerage_type).alias("page_type"),
-        period(1).alias("p_start"),
-        period(2).alias("p_end"),
-    )
-
-
-# ---------------------------------------------------------------- checks
-
-
-@dataclass(frozen=True)
-class _Check:
-    layouts: tuple[str, ...]
-    stage: int
-    failed: Column
-    code: str
-    message: str
-
-
-def _emit(frame: DataFrame, checks: list[_Check]) -> DataFrame:
-    """Violation rows of a per-document frame; list order is the order inside a stage.
-
-    One branch per layout keeps each generated stage small enough to compile.
-    """
-    branches = []
-    for name in L.LAYOUTS:
-        found = [
-            F.when(
-                F.coalesce(check.failed, F.lit(False)),
-                F.struct(
-                    F.lit(check.stage).alias("stage"),
-                    F.lit(order).cast("bigint").alias("seq"),
-                    F.lit(check.code).alias("code"),
-                    F.lit(check.message).alias("message"),
-                ),
-            )
-            for order, check in enumerate(checks)
-            if name in check.layouts
-        ]
-        branches.append(
-            frame.filter(F.col("layout") == name)
-            .select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("v"))
-            .select("doc_id", "v.*")
-        )
-    return reduce(DataFrame.unionByName, branches)
-
-
-def _money_checks(layouts, stage: int, label: str, text: Column, parsed: Column,
-                  required: Column | None = None) -> list[_Check]:
-    need = F.lit(True) if required is None else required
-    return [
-        _Check(layouts, stage, need & text.isNull(), MISSING_SECTION, f"missing field {label}"),
-        _Check(layouts, stage, need & parsed.isNull() & text.isNotNull(), TOKEN,
-               f"bad amount for {label}"),
-    ]
-
-
-def _document_checks() -> list[_Check]:
-    c = F.col
-    checks: list[_Check] = []
-    for layout in L.LAYOUTS.values():
-        for i, marker in enumerate(layout.markers):
-            checks.append(_Check((layout.layout_id,), MARKERS, ~c(f"has_marker_{i}"),
-                                 MISSING_SECTION, f"section marker {marker!r} not found"))
-    bank, schwab, fund, both = _DEPOSITORY_LAYOUTS, (L.SCHWAB,), (L.VANGUARD,), (L.COMBINED,)
-    single = (*bank, L.STANDARD_CARD, L.SCHWAB)
-    many = F.size("masks") > 1
-    checks += [
-        _Check(single, HEADER, many, AMBIGUOUS, "several account masks on page one"),
-        _Check(bank, HEADER, c("both_accounts"), AMBIGUOUS, "checking and savings summaries"),
-        _Check(single, HEADER, F.size("masks") == 0, MISSING_SECTION, "no account number"),
-        _Check(schwab, HEADER, c("both_accounts"), AMBIGUOUS, "cash and margin summaries"),
-        _Check(bank, HEADER, c("page_type").isNull(), TOKEN, "account type not printed"),
-        _Check(fund, HEADER, c("mask_low") != c("mask_high"), AMBIGUOUS, "several account masks"),
-        _Check(fund, HEADER, c("mask_low").isNull(), MISSING_SECTION, "no account mask"),
-        _Check(fund, HEADER, c("kind_low") != c("kind_high"), AMBIGUOUS, "two registrations"),
-        _Check(fund, HEADER, c("kind_low").isNull(), MISSING_SECTION, "no registration"),
-        _Check((*single, *fund, *both), HEADER, c("start_text").isNull(), MISSING_SECTION,
-               "no statement period"),
-        _Check((*single, *fund), HEADER, c("start_date").isNull() | c("end_date").isNull(), TOKEN,
-               "bad period date"),
-        _Check(both, HEADER, c("start_date").isNull() | c("end_date").isNull(), VALUE,
-               "bad period date"),
-        _Check(both, HEADER, c("t_total").isNotNull() & c("v_total").isNull(), TOKEN,
-               "bad combined total"),
-    ]
-    for name, layout in L.LAYOUTS.items():
-        if name == L.COMBINED:
-            continue
-        ids = (name,)
-        for label in layout.labels:
-            slot = label.rstrip("!")
-            checks += _money_checks(ids, SUMMARY, slot, c(f"t_{slot}"), c(f"v_{slot}"))
-            if label.endswith("!"):
-                checks.append(_Check(ids, SUMMARY, c(f"v_{slot}") < 0, INVARIANT,
-                                     f"{slot} must not be negative"))
-        negatives = [
-            _Check(ids, SUMMARY, c("has_bridge") & (c(f"v_{slot}") < 0), INVARIANT,
-                   f"{slot} must not be negative")
-            for slot in ("transfers_in", "transfers_out")
-        ] if layout.bridge else []
-        for label in layout.bridge:
-            slot = label.rstrip("!")
-            checks += _money_checks(ids, SUMMARY, slot, c(f"t_{slot}"), c(f"v_{slot}"),
-                                    F.coalesce("has_bridge", F.lit(False)))
-            if name == L.SCHWAB and slot == "transfers_out":
-                checks += negatives
-        if name == L.VANGUARD:
-            checks += negatives
-    card = (L.STANDARD_CARD,)
-    checks += [
-        _Check(card, SUMMARY, c("due_date").isNull(), MISSING_SECTION, "payment due date required"),
-        _Check(card, SUMMARY, c("t_minimum").isNull(), MISSING_SECTION, "minimum due required"),
-        _Check(card, SUMMARY, c("t_minimum").isNotNull() & c("v_minimum").isNull(), TOKEN,
-               "bad minimum due"),
-        _Check(card, SUMMARY, c("minimum_negative"), INVARIANT, "minimum due must be >= 0"),
-    ]
-    inverted = c("start_date") > c("end_date")
-    checks.append(_Check((*single, *fund), STATEMENT, inverted, MODEL, "period is inverted"))
-    for layout in L.LAYOUTS.values():
-        if layout.layout_id == L.COMBINED:
-            continue
-        ids = (layout.layout_id,)
-        title = layout.sections[0].title
-        drift = ~_same_header(layout.sections[0], c("a_head"), layout.pipe_columns)
-        checks += [
-            _Check(ids, TABLE, ~c("a_found"), MISSING_SECTION, f"section {title} not found"),
-            _Check(ids, TABLE, c("a_found") & drift, SCHEMA_DRIFT, f"header drift in {title}"),
-        ]
-        if not layout.sections[0].may_be_empty:
-            checks.append(_Check(ids, TABLE, c("a_found") & c("a_head").isNull(), MISSING_SECTION,
-                                 f"section {title} is empty"))
-        if len(layout.sections) > 1:
-            positions = layout.sections[1]
-            printed = F.coalesce("b_gate", F.lit(False))
-            drift = ~_same_header(positions, c("b_head"), layout.pipe_columns)
-            checks += [
-                _Check(ids, POSITIONS, printed & ~c("b_found"), MISSING_SECTION,
-                       "positions block not found"),
-                _Check(ids, POSITIONS, printed & c("t_holdings").isNull(), MISSING_SECTION,
-                       "positions total required"),
-                _Check(ids, POSITIONS,
-                       printed & c("t_holdings").isNotNull() & c("v_holdings").isNull(),
-                       TOKEN, "bad positions total"),
-                _Check(ids, POSITIONS, printed & c("b_head").isNull(), MISSING_SECTION,
-                       "positions header row missing"),
-                _Check(ids, POSITIONS, printed & drift, SCHEMA_DRIFT, "header drift in positions"),
-            ]
-    for part, key, mask in ((1, "c", "t_checking"), (2, "d", "t_savings")):
-        base = _PART * part
-        checks += [
-            _Check(both, base + HEADER, c(mask).isNull(), MISSING_SECTION, "no account number"),
-            _Check(both, base + SUMMARY, c(f"{key}_start").isNull(), MISSING_SECTION,
-                   "no account summary"),
-        ]
-        for label in ("opening", "closing"):
-            checks += _money_checks(both, base + SUMMARY, label, c(f"{key}_{label}"),
-                                    c(f"v_{key}_{label}"))
-        for label in ("deposits", "withdrawals", "fees", "interest_paid"):
-            parsed = c(f"v_{key}_{label}")
-            checks.append(_Check(both, base + SUMMARY,
-                                 c(f"{key}_{label}").isNotNull() & parsed.isNull(),
-                                 TOKEN, f"bad amount for {label}"))
-        for label in ("deposits", "withdrawals", "interest_paid", "fees"):
-            checks.append(_Check(both, base + SUMMARY, c(f"v_{key}_{label}") < 0, MODEL,
-                                 f"{label} must not be negative"))
-        checks.append(_Check(both, base + STATEMENT, inverted, MODEL, "period is inverted"))
-    return checks
-
-
-def same_columns(cells: Column, expected: tuple[str, ...]) -> Column:
-    """Header cells (already trimmed) equal the declared ones in order, ignoring case."""
-    joined = F.lower(F.concat_ws("\u0001", cells))
-    return joined == F.lit("\u0001".join(expected))
-
-
-def _same_header(section: L.Section, head: Column, pipe: bool) -> Column:
-    cells = P.split_pipe(head) if pipe else P.split_wide(head)
-    return F.coalesce(same_columns(cells, section.headers), F.lit(True))
-
-
-def check_table(rows: DataFrame, headers: Column, cells: Column,
-                expected: tuple[str, ...]) -> DataFrame:
-    """Rows of a table whose header drifted or whose own width is not the header's."""
-    code = F.when(~same_columns(headers, expected), F.lit("header_drift")).when(
-        F.size(cells) != len(expected), F.lit("ragged_row")
-    )
-    return rows.withColumn("drift", code).filter(F.col("drift").isNotNull()).withColumn(
-        "code", F.lit(SCHEMA_DRIFT)
-    )
-
-
-# ---------------------------------------------------------------- documents
-
-
-def _documents(routed: DataFrame, tagged: DataFrame, lines: DataFrame) -> DataFrame:
-    starts = section_starts(lines)
-    docs = (
-        header_facts(routed)
-        .join(document_facts(tagged), "doc_id")
-        .join(starts, "doc_id", "left")
-        .join(section_facts(lines, starts), "doc_id", "left")
-    )
-    combined_slots = [(key, label) for key in ("c", "d") for label in L.COMBINED_LABELS]
-    docs = docs.withColumns({
-        f"{key}_{label}": F.when(
-            F.col(f"{key}_end").isNull()
-            | (F.col(f"{key}_{label}.pos") < F.col(f"{key}_end")),
-            F.col(f"{key}_{label}.text"),
-        )
-        for key, label in combined_slots
-    })
-    docs = docs.withColumns({
-        **{
-            f"v_{label}": P.cents(F.col(f"t_{label}"), allow_zero=True)
-            for label in sorted({s.rstrip("!") for s in _SLOTS})
-        },
-        **{
-            f"v_{key}_{label}": P.cents(F.col(f"{key}_{label}"), allow_zero=True)
-            for key, label in combined_slots
-        },
-    })
-    minimum = F.col("t_minimum")
-    # A title that is the very last thing printed, with no line break after it, opens nothing.
-    ends_there = lambda start: (
-        (F.col(start) == F.col("last_pos")) & ~F.col("open_end")
-        & (F.floor(F.col("last_pos") / _PAGE_STRIDE) == F.col("last_page"))
-    )
-    is_single = F.col("layout") != L.COMBINED
-    fund_or_both = F.col("layout").isin(L.VANGUARD, L.COMBINED)
-    docs = docs.withColumns({
-        "v_total": P.cents(F.col("t_total"), allow_zero=True),
-        "v_holdings": P.cents(F.col("b_total.text"), allow_zero=True),
-        "v_minimum": P.cents(F.regexp_replace(minimum, r"[^0-9.]", ""), allow_zero=True),
-        "minimum_negative": minimum.startswith("-")
-        | (minimum.startswith("(") & minimum.endswith(")")),
-        "due_date": P.statement_date(F.col("t_due")),
-        "start_text": F.coalesce("p_start", "t_start"),
-        "start_date": F.when(fund_or_both, P.iso_date(F.col("t_start"))).otherwise(
-            P.statement_date(F.col("p_start"))
-        ),
-        "end_date": F.when(fund_or_both, P.iso_date(F.col("t_end"))).otherwise(
-            P.statement_date(F.col("p_end"))
-        ),
-        "a_found": F.col("a_start").isNotNull() & ~(is_single & ends_there("a_start")),
-        "b_found": F.col("b_start").isNotNull() & ~(is_single & ends_there("b_start")),
-    })
-    inside = lambda key: F.col(f"{key}_end").isNull() | (
-        F.col(f"{key}_head.pos") <= F.col(f"{key}_end")
-    )
-    total_inside = F.col("b_end").isNull() | (F.col("b_total.pos") <= F.col("b_end"))
-    return docs.withColumns({
-        "a_head_pos": F.when(inside("a"), F.col("a_head.pos")),
-        "b_head_pos": F.when(inside("b"), F.col("b_head.pos")),
-        "a_head": F.when(inside("a"), P.strip(F.col("a_head.text"))),
-        "b_head": F.when(inside("b"), P.strip(F.col("b_head.text"))),
-        "t_holdings": F.when(total_inside, F.col("b_total.text")),
-    })
-
-
 def _statement_parts(docs: DataFrame) -> DataFrame:
     """One row per account statement: combined documents give a checking and a savings part."""
     c = F.col
@@ -665,7 +101,7 @@ def _statement_parts(docs: DataFrame) -> DataFrame:
             part(2, c("t_savings"), F.lit("savings"), "d_", several("d")),
         ),
     ).otherwise(F.array(part(0, mask, kind, "", single)))
-    institution = _by_layout(lambda layout: F.lit(layout.institution))
+    institution = F.expr(by_layout(lambda x: f"'{x.institution}'"))
     bridged = F.coalesce("has_bridge", F.lit(False))
     return docs.select(
         "doc_id", "layout", institution.alias("institution"), "start_date", "end_date",
@@ -728,9 +164,9 @@ def _section_rows(lines: DataFrame, docs: DataFrame) -> DataFrame:
             c("line"), "^.*?(?:CHECKING|SAVINGS) TRANSACTION DETAILS", ""
         ))
         .when((c("section") == 1) & (pos == c("b_total_pos")),
-              F.regexp_replace(c("line"), _TOTAL_LINE, ""))
-        .when((c("section") == 1) & (pos == c("b_end")), _before_end(1))
-        .when((c("section") == 0) & (pos == c("a_end")), _before_end(0))
+              F.regexp_replace(c("line"), TOTAL_LINE, ""))
+        .when((c("section") == 1) & (pos == c("b_end")), F.expr(before_end(1)))
+        .when((c("section") == 0) & (pos == c("a_end")), F.expr(before_end(0)))
         .otherwise(c("line"))
     )
     upper = F.upper(c("text"))
@@ -761,9 +197,10 @@ def typed_rows(rows: DataFrame) -> DataFrame:
     """Table rows with typed cells and the first thing wrong with each; positions carry part -1."""
     c = F.col
     combined, fund = c("layout") == L.COMBINED, c("layout") == L.VANGUARD
-    bank = c("layout").isin(*_DEPOSITORY_LAYOUTS)
-    width = _by_layout(lambda layout: F.lit(len(layout.sections[0].headers))
-                       if layout.sections[0].headers else None)
+    bank = c("layout").isin(*DEPOSITORY_LAYOUTS)
+    width = F.expr(by_layout(
+        lambda x: str(len(x.sections[0].headers)) if x.sections[0].headers else None
+    ))
     is_position = (c("section") == 1) & ~combined
     typed = rows.select(
         "doc_id", "layout", "page_number", "pos",
@@ -803,7 +240,7 @@ def typed_rows(rows: DataFrame) -> DataFrame:
         .when(fund, categorize_vanguard(c("description"), c("amount_text")))
         .otherwise(categorize_combined(c("description"), c("amount_cents")))
     ))
-    domain = _by_layout(lambda layout: F.lit(layout.domain))
+    domain = F.expr(by_layout(lambda x: f"'{x.domain}'"))
     wrong_sign = sign_violation(domain, c("transaction_category"), c("amount_cents"))
     position_fault = (
         F.when(c("quantity_nanos").isNull(), "bad share quantity")
@@ -833,7 +270,7 @@ def typed_rows(rows: DataFrame) -> DataFrame:
 def row_violations(rows: DataFrame) -> DataFrame:
     """Ragged rows come before any row is read; then the first fault of each row, in order."""
     position = F.col("part") == -1
-    base = F.when(position, F.lit(0)).otherwise(F.col("part") * _PART)
+    base = F.when(position, F.lit(0)).otherwise(F.col("part") * PART_STRIDE)
     ragged = F.when(position, F.lit(POSITIONS_RAGGED)).otherwise(base + RAGGED)
     fault = F.when(position, F.lit(POSITIONS_ROW)).otherwise(base + ROW)
     empty = F.col("fault").isin("empty description", "empty position text")
@@ -894,10 +331,10 @@ def parse_statements(pages: DataFrame) -> ParsedLedger:
     routed, refused = route_exclusive(pages)
     tagged = tag_pages(pages, routed)
     lines = page_lines(tagged)
-    docs = staged(_documents(routed, tagged, lines), "documents")
+    docs = staged(documents(routed, tagged, lines), "documents")
     rows = staged(typed_rows(_section_rows(lines, docs)), "rows")
     parts = _statement_parts(docs)
-    violations = _emit(docs, _document_checks()).unionByName(row_violations(rows))
+    violations = document_violations(docs).unionByName(row_violations(rows))
     in_domain = lambda name: parts.filter(F.col("account_domain") == name)
     ledger = Ledger(
         accounts=parts.groupBy("account_id").agg(
@@ -940,7 +377,7 @@ def parse_statements(pages: DataFrame) -> ParsedLedger:
         transactions=staged(parse_transactions(rows), "transactions"),
         holdings=parse_holdings(rows, docs),
     )
-    printed = F.coalesce("b_gate", F.lit(False)) & F.col("layout").isin(*_BROKERAGE_LAYOUTS)
+    printed = F.coalesce("b_gate", F.lit(False)) & F.col("layout").isin(*BROKERAGE_LAYOUTS)
     return ParsedLedger(
         ledger=ledger,
         parts=parts.select("doc_id", "layout", "part", "statement_id"),

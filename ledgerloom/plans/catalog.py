@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import queries_checks, queries_ledger, queries_text
+from ledgerloom.plans import (
+    queries_checks,
+    queries_ledger,
+    queries_sources,
+    queries_text,
+)
 
-MODULES = (queries_ledger, queries_checks, queries_text)
+MODULES = (queries_ledger, queries_checks, queries_text, queries_sources)
 
 
 def all_queries() -> dict[str, tuple]:

@@ -11,7 +11,7 @@ from ledgerloom.functions import categorize as C
 from ledgerloom.functions import redact as R
 from ledgerloom.functions import tokens as P
 from ledgerloom.operators import legacy as LG
-from ledgerloom.operators import parse as PARSE
+from ledgerloom.operators import document_checks as CHECKS
 from ledgerloom.operators import routing as ROUTE
 from ledgerloom.operators.ledger_queries import statement_detail
 from ledgerloom.operators.outcome import all_violations, first_failure, parse_and_check
@@ -20,6 +20,7 @@ from ledgerloom.plans import derive as D
 from ledgerloom.plans import render as RENDER
 from ledgerloom.plans.oracle import on_ledger
 from ledgerloom.rules import BROKERAGE, CARD, DEPOSITORY
+from ledgerloom.sources.stage import staged
 
 # ---------------------------------------------------------------- tokens
 
@@ -241,7 +242,8 @@ _RENDERED = ("depository", "card", "brokerage", "fund", "combined")
 
 @lru_cache(maxsize=16)
 def rendered(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
-    return getattr(RENDER, f"render_{layout}")(spark, sf_dir)
+    """Printed pages of one layout, written once as the page table a parse starts from."""
+    return staged(getattr(RENDER, f"render_{layout}")(spark, sf_dir), f"pages-{layout}")
 
 
 def routing(spark, sf_dir):
@@ -302,7 +304,7 @@ def check_table(spark, sf_dir):
             key % 5 == 4, F.array(cell, cell, cell, cell)
         ).otherwise(F.array(cell, cell, cell)).alias("cells"),
     )
-    return PARSE.check_table(
+    return CHECKS.check_table(
         orders, F.col("headers"), F.col("cells"), ("date", "description", "amount")
     ).select("o_orderkey", "drift", "code")
 
@@ -503,7 +505,7 @@ def parse_failures(spark, sf_dir):
 FAILURES = on_ledger("""
 SELECT statement_id AS doc_id, code FROM (
 SELECT statement_id, CASE k WHEN 1 THEN 'ADAPTER_MATCH_FAILED' WHEN 2 THEN 'MissingSectionError'
-    WHEN 3 THEN 'AmbiguousAccountsError' WHEN 4 THEN 'MissingSectionError'
+    WHEN 3 THEN 'AmbiguousAccountsError' WHEN 4 THEN 'TokenError'
     WHEN 5 THEN 'MissingSectionError'
     WHEN 6 THEN CASE WHEN fees_cents < 0 THEN 'InvariantError' ELSE 'SchemaDriftError' END
     WHEN 7 THEN CASE WHEN fees_cents < 0 THEN 'InvariantError' ELSE 'TokenError' END
