@@ -65,7 +65,7 @@ _SLICE = 1 << 16
 
 
 # Up to this many requests, one budget is folded in order inside one row.
-FOLD_LIMIT = 2000
+FOLD_LIMIT = 20_000
 
 
 def _fold(requests: DataFrame, available: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def _statement_parts(docs: DataFrame) -> DataFrame:
     def money(name: str) -> Column:
         return c(f"v_{name}")
 
-    mask = F.when(c("layout") == L.VANGUARD, c("mask_low")).otherwise(c("masks")[0])
+    mask = F.when(c("layout") == L.VANGUARD, c("mask_low")).otherwise(F.get("masks", F.lit(0)))
     fund_type = F.when(c("kind_low") == "Brokerage Margin", F.lit("brokerage_margin")).otherwise(
         F.lit("brokerage_cash")
     )

@@ -47,7 +47,7 @@ BROKEN = {
     "fund-empty": (X.FUND[:X.FUND.index("Date | Activity")], "MissingSectionError"),
     "fund-two-kinds": (X.FUND.replace("Margin\n", "Margin\nRegistration: Brokerage Cash\n"),
                        "AmbiguousAccountsError"),
-    "fund-no-text": (X.FUND.replace("Buy Fund", ""), "TokenError"),
+    "fund-no-text": (X.FUND.replace("Buy Fund", ""), "ValidationError"),
     "combined-total": (X.COMBINED.replace("$3,526.75", "$3,526.76"), "InvariantError"),
     "combined-short": (X.COMBINED.replace("Interest    +$1.25    $901.25", "Interest"),
                        "TokenError"),
