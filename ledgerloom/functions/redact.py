@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions.tokens import strip
+from ledgerloom.functions.tokens import WS
 
 MASK = "[REDACTED]"
 AMOUNT_MASK = "[REDACTED_AMOUNT]"
@@ -24,8 +24,8 @@ ID_NAMES = (
 )
 MONEY_NAME = r"(?i)(?:^|_)(?:amount|balance|payment|charge|fee)(?:$|_)"
 UUID_TEXT = (
-    r"^(?:urn:uuid:)?\{?[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}"
-    r"-?[0-9a-fA-F]{12}\}?\z"
+    r"(?:urn:uuid:)?\{?[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}"
+    r"-?[0-9a-fA-F]{12}\}?"
 )
 STREET_WORDS = (
     "Street|St|Avenue|Ave|Boulevard|Blvd|Drive|Dr|Road|Rd|Lane|Ln|Way|Court|Ct"
@@ -66,7 +66,7 @@ def _steps(text: Column) -> Iterator[tuple[str, Column, str, Column]]:
 
 
 def is_uuid_text(col: Column) -> Column:
-    return strip(col).rlike(UUID_TEXT)
+    return col.rlike(rf"^[{WS}]*{UUID_TEXT}[{WS}]*\z")
 
 
 def redact_text(col: Column) -> Column:
