@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.boilerplate import strip_spread_lines, strip_sql
+from ledgerloom.llm.fixture_leaks import find_fixture_leaks
+from ledgerloom.llm.frames import shared_folder
 from ledgerloom.llm.packing import pack_pages
 from ledgerloom.llm.page_tokens import count_page_tokens
+from ledgerloom.llm.payload_archive import read_payload_archive, write_payload_archive
 
 
 def tokenizer_file(name: str) -> str:
@@ -15,7 +22,16 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers of a session started elsewhere import this package from where it lies."""
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), root])
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,6 +41,59 @@ def as_pages(documents: DataFrame, *more: str) -> DataFrame:
         F.col("doc_id").alias("raw_page_id"), F.col("text").alias("page_text"), *more)
 
 
+def op2_payload_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payloads = read(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("raw_payload_id"), F.col("url").alias("original_basename"),
+        F.encode("html", "UTF-8").alias("content"))
+    files = write_payload_archive(payloads, shared_folder(spark, "archive"))
+    records = read_payload_archive(files, with_content=False)
+    return records.select(
+        F.col("raw_payload_id").cast("bigint").alias("page_id"),
+        F.col("byte_length").alias("payload_bytes"), F.col("content_sha256").alias("payload_digest"),
+        "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100
+              THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM f"""
+
+
+def institution_pages(documents: DataFrame, *more: str) -> DataFrame:
+    return as_pages(documents, F.col("source").alias("institution"), *more)
+
+
+def op3_spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = strip_spread_lines(institution_pages(read(spark, sf_dir, "documents")))
+    return pages.select(
+        F.col("raw_page_id").alias("doc_id"), "n_lines", "n_spread", "n_removed",
+        F.octet_length("page_text").cast("bigint").alias("kept_bytes"),
+        F.sha2("page_text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = f"""
+WITH {strip_sql("documents", "doc_id", "source", "text")}
+SELECT r.doc_id, n_lines, n_spread, n_removed, strlen(kept_) AS kept_bytes,
+       sha256(kept_) AS kept_sha256
+FROM stripped_ s JOIN rows_ r ON s.row_ = r.row_"""
+
+
+def as_fixtures(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").alias("fixture_id"), F.col("text").alias("raw_text"))
+
+
+def op6_fixture_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = find_fixture_leaks(as_pages(read(spark, sf_dir, "documents")),
+                               as_fixtures(read(spark, sf_dir, "benchmark")))
+    return leaks.select(F.col("raw_page_id").alias("doc_id"), F.col("fixture_id").alias("item_id"),
+                        "edits")
+
+
 def op7_page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_page_tokens(as_pages(read(spark, sf_dir, "documents")),
                                tokenizer_file("byte_bpe_50k.json"))
@@ -45,6 +114,9 @@ def op9_pack_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_payload_archive": (op2_payload_archive, OP2_SQL),
+    "op3_spread_lines": (op3_spread_lines, OP3_SQL),
+    "op6_fixture_leaks": (op6_fixture_leaks, None),
     "op7_page_tokens": (op7_page_tokens, None),
     "op9_pack_pages": (op9_pack_pages, None),
 }
