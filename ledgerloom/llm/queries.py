@@ -14,6 +14,7 @@ from ledgerloom.llm.frames import shared_folder
 from ledgerloom.llm.packing import pack_pages
 from ledgerloom.llm.page_tokens import count_page_tokens
 from ledgerloom.llm.payload_archive import read_payload_archive, write_payload_archive
+from ledgerloom.llm.repeated_bytes import remove_repeated_bytes
 
 
 def tokenizer_file(name: str) -> str:
@@ -101,6 +102,11 @@ def op7_page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated_bytes(as_pages(read(spark, sf_dir, "documents")))
+    return kept.withColumnRenamed("raw_page_id", "doc_id")
+
+
 def packed_documents(documents: DataFrame) -> DataFrame:
     pieces = pack_pages(as_pages(documents), tokenizer_file("word_bpe_49k.json"))
     return pieces.select(
@@ -118,5 +124,6 @@ QUERIES = {
     "op3_spread_lines": (op3_spread_lines, OP3_SQL),
     "op6_fixture_leaks": (op6_fixture_leaks, None),
     "op7_page_tokens": (op7_page_tokens, None),
+    "op8_repeated_bytes": (op8_repeated_bytes, None),
     "op9_pack_pages": (op9_pack_pages, None),
 }
