@@ -5,16 +5,20 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.boilerplate import strip_spread_lines, strip_sql
 from ledgerloom.llm.fixture_leaks import find_fixture_leaks
 from ledgerloom.llm.frames import shared_folder
+from ledgerloom.llm.near_pages import near_duplicate_pages
 from ledgerloom.llm.packing import pack_pages
+from ledgerloom.llm.page_flags import PageFlags, fit_page_flags
 from ledgerloom.llm.page_tokens import count_page_tokens
 from ledgerloom.llm.payload_archive import read_payload_archive, write_payload_archive
+from ledgerloom.llm.perplexity import page_perplexity
 from ledgerloom.llm.repeated_bytes import remove_repeated_bytes
+from ledgerloom.llm.vector_tree import nearest_vectors
 
 
 def tokenizer_file(name: str) -> str:
@@ -42,6 +46,31 @@ def as_pages(documents: DataFrame, *more: str) -> DataFrame:
         F.col("doc_id").alias("raw_page_id"), F.col("text").alias("page_text"), *more)
 
 
+def op1_near_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_duplicate_pages(as_pages(read(spark, sf_dir, "documents")))
+    return classes.select(F.col("raw_page_id").alias("doc_id"), "class_id", "n_links")
+
+
+# Every pair that shares a run of words is counted, so this suits small tables.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x20]+'), lambda x: x <> '') AS ws
+  FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE
+        WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))
+        WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+b AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id
+      GROUP BY ALL),
+l AS (SELECT a, b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+      WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+r AS (SELECT doc_id, doc_id AS reached FROM documents
+      UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT d.doc_id, (SELECT min(reached) FROM r WHERE r.doc_id = d.doc_id) AS class_id,
+       (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_links
+FROM documents d"""
+
+
 def op2_payload_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     payloads = read(spark, sf_dir, "pages").select(
         F.col("page_id").alias("raw_payload_id"), F.col("url").alias("original_basename"),
@@ -84,6 +113,32 @@ SELECT r.doc_id, n_lines, n_spread, n_removed, strlen(kept_) AS kept_bytes,
 FROM stripped_ s JOIN rows_ r ON s.row_ = r.row_"""
 
 
+def held_out(doc_id: Column) -> Column:
+    """Rows that no label is learnt from."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
+
+
+def fitted_toxicity(documents: DataFrame, labels: DataFrame) -> PageFlags:
+    """The classifier of labels.toxic, learnt from the labelled rows that are not held out."""
+    known = labels.filter(~held_out(F.col("doc_id"))).select(
+        F.col("doc_id").alias("raw_page_id"), F.col("toxic").alias("flagged"))
+    return fit_page_flags(as_pages(documents), known)
+
+
+def op4_page_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    model = fitted_toxicity(documents, read(spark, sf_dir, "labels"))
+    scored = model.score(as_pages(documents))
+    return scored.select(
+        F.col("raw_page_id").alias("doc_id"), held_out(F.col("raw_page_id")).alias("held_out"),
+        "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest_vectors(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def as_fixtures(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").alias("fixture_id"), F.col("text").alias("raw_text"))
 
@@ -119,11 +174,23 @@ def op9_pack_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(read(spark, sf_dir, "documents"))
 
 
+def op10_page_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels")
+    trusted = labels.filter("quality = 1").select(F.col("doc_id").alias("raw_page_id"))
+    scored = page_perplexity(as_pages(read(spark, sf_dir, "documents"), "lang"), trusted)
+    return scored.select(F.col("raw_page_id").alias("doc_id"), "lang", "perplexity", "threshold",
+                         F.col("keep").cast("int").alias("high_quality"))
+
+
 QUERIES = {
+    "op1_near_pages": (op1_near_pages, OP1_SQL),
     "op2_payload_archive": (op2_payload_archive, OP2_SQL),
     "op3_spread_lines": (op3_spread_lines, OP3_SQL),
+    "op4_page_toxicity": (op4_page_toxicity, None),
+    "op5_nearest_vectors": (op5_nearest_vectors, None),
     "op6_fixture_leaks": (op6_fixture_leaks, None),
     "op7_page_tokens": (op7_page_tokens, None),
     "op8_repeated_bytes": (op8_repeated_bytes, None),
     "op9_pack_pages": (op9_pack_pages, None),
+    "op10_page_perplexity": (op10_page_perplexity, None),
 }
