@@ -133,9 +133,12 @@ class PieceEncoder:
         code = self.whole.encode(text, add_special_tokens=False)
         word = np.array([-1 if w is None else w for w in code.word_ids], np.int64)
         begin = np.array([o[0] for o in code.offsets], np.int64)
+        stop = np.array([o[1] for o in code.offsets], np.int64)
         # A special token has no word; every one of them stands alone.
         new = np.ones(len(word), bool)
         new[1:] = (word[1:] != word[:-1]) | (word[1:] < 0)
+        # A character may become several pieces; only the first one's start is a place in the text.
+        new[1:] &= begin[1:] >= np.maximum.accumulate(stop)[:-1]
         at = np.flatnonzero(new)
         return (np.append(begin[at], len(text)), np.append(at, len(word)).astype(np.int64),
                 np.array(code.ids, "<u4"))
