@@ -272,7 +272,9 @@ def _settle(segments: DataFrame) -> list[DataFrame]:
         own = F.struct("raw_page_id", "tag", "start")
         segments = staged(
             joined.filter(own.eqNullSafe(F.col("_one")))
-            .withColumn("lone", F.col("lone") & (F.col("_n") == 1)).drop("_n", "_one"),
+            .withColumn("lone", F.col("lone") & (F.col("_n") == 1)).drop("_n", "_one")
+            # Repeated rows still give the same piece more than once.
+            .dropDuplicates(["key", "digest"]),
             "halved-segments")
 
 
@@ -299,9 +301,10 @@ def remove_repeated_bytes(raw_pages: DataFrame) -> DataFrame:
         # Tells rows of one id with different texts apart.
         F.xxhash64("page_text").alias("tag"))
     pieces = staged(pages.mapInArrow(_emit_pieces, _PIECES), "window-pieces")
-    groups = pieces.groupBy("key").agg(
+    # Staged, so that the join's two sides are plain exchanges and a hot key's side can be split.
+    groups = staged(pieces.groupBy("key").agg(
         F.count("*").alias("_n"), F.min("digest").alias("_low"), F.max("digest").alias("_high"),
-    ).filter("_n > 1").select("key", (F.col("_low") == F.col("_high")).alias("_equal"))
+    ).filter("_n > 1").select("key", (F.col("_low") == F.col("_high")).alias("_equal")), "window-groups")
     shared = staged(pieces.join(groups, "key"), "shared-pieces")
     covered = [_spans(shared.filter("_equal"))]
     mixed = shared.filter("NOT _equal")
