@@ -47,7 +47,7 @@ def create_envelopes(new: DataFrame, existing: DataFrame) -> tuple[DataFrame, Da
     return created, refused
 
 
-def ready_to_assign(ledger: Ledger, envelopes: DataFrame, limit: int | None = 50,
+def ready_to_assign(ledger: Ledger, envelopes: DataFrame, limit: int | None = None,
                     liabilities_negative: bool = False) -> DataFrame:
     """Overview closings minus envelope balances: one row, possibly negative."""
     closing = overview_totals(ledger, limit, liabilities_negative).select(
@@ -59,84 +59,46 @@ def ready_to_assign(ledger: Ledger, envelopes: DataFrame, limit: int | None = 50
     )
 
 
-_ROUNDS = 64
+# One round for each power of two that a rest can have, and one that finds nothing left.
+_ROUNDS = 65
 # Requests of one budget are accumulated in slices of this many sequence numbers.
 _SLICE = 1 << 16
 
 
-# Up to this many requests, one budget is folded in order inside one row.
-FOLD_LIMIT = 20_000
-
-
-def _fold(requests: DataFrame, available: DataFrame) -> DataFrame:
-    """Accepted requests of budgets whose request count is bounded by ``FOLD_LIMIT``."""
-    start = F.struct(
-        F.col("available_cents").alias("rest"),
-        F.array().cast("array<bigint>").alias("taken"),
-    )
-
-    def step(state, request):
-        fits = request["amount_cents"] <= state["rest"]
-        return F.when(fits, F.struct(
-            (state["rest"] - request["amount_cents"]).alias("rest"),
-            F.array_append(state["taken"], request["seq"]).alias("taken"),
-        )).otherwise(state)
-
-    ordered = requests.groupBy("budget_id").agg(
-        F.sort_array(F.collect_list(F.struct("seq", "amount_cents"))).alias("r")
-    )
-    return ordered.join(available, "budget_id").select(
-        "budget_id", F.explode(F.aggregate("r", start, step)["taken"]).alias("seq")
-    )
-
-
 def _admit(requests: DataFrame, available: DataFrame) -> DataFrame:
-    """Accepted requests: each takes its amount if the rest covers it, else takes nothing."""
-    sizes = requests.groupBy("budget_id").agg(F.count("*").alias("_n"))
-    large = staged(sizes.filter(F.col("_n") > FOLD_LIMIT).select("budget_id"), "large-budgets")
-    if large.isEmpty():
-        return _fold(requests, available)
-    folded = _fold(requests.join(large, "budget_id", "left_anti"), available)
-    return folded.unionByName(_admit_by_rounds(
-        requests.join(large, "budget_id", "left_semi"),
-        available.join(large, "budget_id", "left_semi"),
-    ))
-
-
-def _admit_by_rounds(open_requests: DataFrame, available: DataFrame) -> DataFrame:
-    """The same fold for budgets of any size, without a group ever being gathered.
+    """Accepted requests: each takes its amount if the rest covers it, else takes nothing.
 
     The rest only ever shrinks, which bounds the work. Let 2^k be the largest power of two not
     above the rest. While the rest stays at or above 2^k every smaller request fits, so those
     are a plain running sum; requests of 2^(k+1) and more can never fit again. A request in
     between that fits drops the rest below 2^k, and so does enough of the small ones. Either
     event ends the round, k falls, and there are at most 63 rounds, however many requests one
-    budget has. Every round is an aggregation over all budgets at once.
+    budget has. Every round is an aggregation over all budgets at once, over the requests that
+    may still fit. Sums are decimals, as those far beyond the rest may pass 2^63.
     """
-    state = available.select(
-        "budget_id", F.col("available_cents").alias("rest"),
-        F.lit(None).cast("bigint").alias("last_seq"),
-    ).filter(F.col("rest") > 0)
-    accepted = None
+    rest = available.select("budget_id", F.col("available_cents").alias("rest"))
+    waiting = requests.join(rest, "budget_id").filter("amount_cents <= rest")
+    accepted = requests.select("budget_id", "seq").filter(F.lit(False))
     for _ in range(_ROUNDS):
         level = F.call_function(
             "shiftleft", F.lit(1).cast("bigint"), F.length(F.bin("rest")) - 1
         )
-        active = state.withColumn("level", level)
-        candidates = open_requests.join(active, "budget_id").filter(
-            (F.col("last_seq").isNull() | (F.col("seq") > F.col("last_seq")))
-            & (F.col("amount_cents") <= F.col("rest"))
-        )
-        small = F.when(F.col("amount_cents") < F.col("level"), F.col("amount_cents"))
+        waiting = waiting.select("budget_id", "seq", "amount_cents", "rest").withColumn(
+            "level", level)
+        is_small = F.col("amount_cents") < F.col("level")
         run = running_totals(
-            candidates.withColumn("_slice", F.floor(F.col("seq") / _SLICE)),
-            ["budget_id"], "_slice", ["seq"], {"spent": F.coalesce(small, F.lit(0))},
+            waiting.withColumn("_slice", F.floor(F.col("seq") / _SLICE)),
+            ["budget_id"], "_slice", ["seq"],
+            {"spent": F.when(is_small, F.col("amount_cents")).otherwise(F.lit(0))
+             .cast("decimal(20,0)")},
+            kind="decimal(38,0)",
         )
         # ``spent`` counts small requests up to and with this one.
-        is_small = F.col("amount_cents") < F.col("level")
         drained = is_small & (F.col("rest") - F.col("spent") < F.col("level"))
         large_fits = ~is_small & (F.col("amount_cents") <= F.col("rest") - F.col("spent"))
         run = staged(run.withColumn("ends", drained | large_fits), "admission")
+        if run.isEmpty():
+            return accepted
         stops = run.filter("ends").groupBy("budget_id").agg(
             F.min_by(F.struct("seq", "amount_cents", "spent", "level"), "seq").alias("stop")
         )
@@ -145,23 +107,16 @@ def _admit_by_rounds(open_requests: DataFrame, available: DataFrame) -> DataFram
         # Before the stop every small request fits and none of the larger ones did. At the
         # stop a larger request fits by definition and a small one fits too: until it, the
         # rest was at least 2^k.
-        taken = marked.filter((before & is_small) | (F.col("seq") == F.col("stop.seq"))).select(
-            "budget_id", "seq"
-        )
-        accepted = taken if accepted is None else accepted.unionByName(taken)
+        accepted = accepted.unionByName(marked.filter(
+            (before & is_small) | (F.col("seq") == F.col("stop.seq"))
+        ).select("budget_id", "seq"))
         used = F.col("stop.spent") + F.when(
             F.col("stop.amount_cents") >= F.col("stop.level"), F.col("stop.amount_cents")
         ).otherwise(F.lit(0))
-        state = staged(
-            active.join(stops, "budget_id").select(
-                "budget_id", (F.col("rest") - used).alias("rest"),
-                F.col("stop.seq").alias("last_seq"),
-            ).filter(F.col("rest") > 0),
-            "budgets",
-        )
-        if state.isEmpty():
-            break
-    return accepted
+        waiting = marked.filter(F.col("seq") > F.col("stop.seq")).withColumn(
+            "rest", (F.col("rest") - used).cast("bigint")
+        ).filter("amount_cents <= rest")
+    raise RuntimeError("budget admission did not end")
 
 
 def assign_batch(requests: DataFrame, envelopes: DataFrame, available: DataFrame

@@ -89,7 +89,7 @@ def recent_statements(ledger: Ledger, limit: int = 5) -> DataFrame:
     )
 
 
-def account_overview(ledger: Ledger, limit: int | None = 50) -> DataFrame:
+def account_overview(ledger: Ledger, limit: int | None = None) -> DataFrame:
     """Newest statement of each account among the newest ``limit`` statements (None: all)."""
     columns = [
         "statement_id", "statement_start_date", "statement_end_date", "opening_balance_cents",
@@ -108,7 +108,7 @@ def account_overview(ledger: Ledger, limit: int | None = 50) -> DataFrame:
     )
 
 
-def overview_totals(ledger: Ledger, limit: int | None = 50,
+def overview_totals(ledger: Ledger, limit: int | None = None,
                     liabilities_negative: bool = False) -> DataFrame:
     """Account count and summed closing balance of the overview; card debt adds by default."""
     closing = F.col("closing_balance_cents")

@@ -21,12 +21,14 @@ def running_totals(
     order: Sequence[str],
     totals: Mapping[str, Column],
     restart_on: Mapping[str, str] | None = None,
+    kind: str = "bigint",
 ) -> DataFrame:
     """Append one inclusive running sum per entry of ``totals``.
 
     ``chunk`` must be a non-null column whose order agrees with ``order`` inside a key: every
     row of a lower chunk comes before every row of a higher one. ``restart_on`` maps a total to
     a further column, fixed within a chunk, at whose change that total starts again from zero.
+    ``kind`` is the type of the sums; a decimal where they may pass the range of a bigint.
     """
     keys = list(keys)
     restart_on = dict(restart_on or {})
@@ -58,7 +60,7 @@ def running_totals(
     return local.join(offsets, [*keys, chunk], "left").select(
         *rows.columns,
         *[
-            (F.col(f"_{name}_before") + F.col(f"_{name}_in")).cast("bigint").alias(name)
+            (F.col(f"_{name}_before") + F.col(f"_{name}_in")).cast(kind).alias(name)
             for name in totals
         ],
     )

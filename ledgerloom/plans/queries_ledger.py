@@ -97,6 +97,16 @@ def assigned_balances(spark, sf_dir):
     return balances.select("envelope_id", "balance_cents")
 
 
+def assign_batch_hot(spark, sf_dir):
+    """All requests draw on one budget, in the order of their numbers."""
+    one = F.lit("all").alias("budget_id")
+    requests = budget_requests(spark, sf_dir).select(one, "seq", "envelope_id", "amount_cents")
+    available = budget_available(spark, sf_dir).agg(
+        F.sum("available_cents").cast("bigint").alias("available_cents")
+    ).select(one, "available_cents")
+    return B.assign_batch(requests, envelopes(spark, sf_dir), available)[0]
+
+
 ADMISSION = """
 WITH RECURSIVE """ + ENVELOPES + """, req AS (
   SELECT CAST(c_nationkey AS VARCHAR) AS budget_id, o_orderkey AS seq,
@@ -442,6 +452,11 @@ QUERIES: dict[str, tuple] = {
                   "ORDER BY s.statement_end_date DESC, s.statement_id DESC LIMIT 5"),
     ),
     "account_overview": (
+        lambda s, d: Q.account_overview(_ledger(s, d)),
+        on_ledger(OVERVIEW.format(source="st")),
+    ),
+    # The window of the newest 50 statements is what this form is for.
+    "account_overview_newest_50": (
         lambda s, d: Q.account_overview(_ledger(s, d), 50),
         on_ledger(OVERVIEW.format(source="n50"), NEWEST_50),
     ),
@@ -560,6 +575,13 @@ FROM (SELECT count(*) AS n, CAST(sum(opening_portfolio_cents) AS BIGINT) AS o,
     ),
     "create_envelopes": (create_envelopes, CREATE_ENVELOPES),
     "ready_to_assign": (
+        lambda s, d: B.ready_to_assign(_ledger(s, d), envelopes(s, d)),
+        on_ledger("SELECT CAST(coalesce((SELECT sum(closing_balance_cents) FROM ("
+                  + OVERVIEW.format(source="st") + ")), 0) - coalesce((SELECT "
+                  "sum(balance_cents) FROM env), 0) AS BIGINT) AS ready_to_assign_cents",
+                  ENVELOPES),
+    ),
+    "ready_to_assign_newest_50": (
         lambda s, d: B.ready_to_assign(_ledger(s, d), envelopes(s, d), 50),
         on_ledger("SELECT CAST(coalesce((SELECT sum(closing_balance_cents) FROM ("
                   + OVERVIEW.format(source="n50") + ")), 0) - coalesce((SELECT "
@@ -579,6 +601,12 @@ FROM (SELECT count(*) AS n, CAST(sum(opening_portfolio_cents) AS BIGINT) AS o,
         ADMISSION + "SELECT budget_id, seq, envelope_id, amount_cents, accepted, error "
         "FROM outcome",
     ),
+    "assign_batch_hot": (
+        assign_batch_hot,
+        ADMISSION.replace("CAST(c_nationkey AS VARCHAR) AS budget_id", "'all' AS budget_id")
+        .replace("FROM customer GROUP BY c_nationkey", "FROM customer")
+        + "SELECT budget_id, seq, envelope_id, amount_cents, accepted, error FROM outcome",
+    ),
     "assigned_balances": (
         assigned_balances,
         ADMISSION + "SELECT e.envelope_id, CAST(balance_cents + coalesce((SELECT "

@@ -38,16 +38,25 @@ def brute_admission(requests, available):
     return taken
 
 
-def test_both_admission_ways_agree_with_brute_force(spark):
+def admitted(spark, requests, available):
+    r = spark.createDataFrame(requests, "budget_id string, seq bigint, amount_cents bigint")
+    a = spark.createDataFrame(list(available.items()), "budget_id string, available_cents bigint")
+    return {(x.budget_id, x.seq) for x in B._admit(r, a).collect()}
+
+
+def test_admission_agrees_with_brute_force(spark):
     random.seed(11)
     available = {"a": 0, "b": 900, "c": 50_000, "d": 3}
     requests = [(b, i * 40_000 + 7, int(10 ** random.uniform(0, 4)))
                 for b in available for i in range(60)]
-    r = spark.createDataFrame(requests, "budget_id string, seq bigint, amount_cents bigint")
-    a = spark.createDataFrame(list(available.items()), "budget_id string, available_cents bigint")
-    expected = brute_admission(requests, available)
-    for admit in (B._fold, B._admit_by_rounds):
-        assert {(x.budget_id, x.seq) for x in admit(r, a).collect()} == expected
+    assert admitted(spark, requests, available) == brute_admission(requests, available)
+
+
+def test_admission_of_sums_beyond_a_bigint(spark):
+    available = {"x": 2**62 + 5, "y": 2**63 - 1}
+    requests = [(b, i, 2**61 - i % 3) for b in available for i in range(12)]
+    requests += [(b, 20 + i, 2**i) for b in available for i in range(0, 60, 7)]
+    assert admitted(spark, requests, available) == brute_admission(requests, available)
 
 
 def test_assign_batch_order_and_errors(spark):
