@@ -32,6 +32,7 @@ from ledgerloom.operators.document_checks import (
 from ledgerloom.operators.document_facts import (
     BROKERAGE_LAYOUTS,
     DEPOSITORY_LAYOUTS,
+    PAGES_PER_CHUNK,
     TOTAL_LINE,
     before_end,
     by_layout,
@@ -291,10 +292,11 @@ def parse_transactions(rows: DataFrame) -> DataFrame:
     """Transactions of typed rows, numbered from one inside each statement."""
     numbered = running_totals(
         _sound(rows).filter(F.col("part") >= 0).select(
-            "doc_id", "part", "page_number", "pos", "post_date", "amount_cents", "description",
+            "doc_id", "part", F.floor(F.col("page_number") / PAGES_PER_CHUNK).alias("_chunk"),
+            "pos", "post_date", "amount_cents", "description",
             "transaction_category", "balance_after_cents",
         ),
-        ["doc_id", "part"], "page_number", ["pos"], {"line_no": F.lit(1)},
+        ["doc_id", "part"], "_chunk", ["pos"], {"line_no": F.lit(1)},
     )
     ids = statement_id(F.col("doc_id"), F.col("part"))
     return numbered.withColumn("statement_id", ids).select(
@@ -325,11 +327,12 @@ def parse_holdings(rows: DataFrame, docs: DataFrame) -> DataFrame:
 def parse_statements(pages: DataFrame) -> ParsedLedger:
     """Route, read and type every document; nothing is checked against balances yet.
 
-    Document facts and cut table rows are staged, so the text is read for each of them once and
-    everything after works on compact typed tables.
+    The pages of routed documents are staged with their text made dense, so the source is read no
+    further; document facts and cut table rows are staged too, and everything after works on
+    compact typed tables.
     """
     routed, refused = route_exclusive(pages)
-    tagged = tag_pages(pages, routed)
+    tagged = staged(tag_pages(pages, routed), "tagged-pages")
     lines = page_lines(tagged)
     docs = staged(documents(routed, tagged, lines), "documents")
     rows = staged(typed_rows(_section_rows(lines, docs)), "rows")

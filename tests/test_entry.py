@@ -11,10 +11,7 @@ from ledgerloom.plans.catalog import all_queries
 
 duckdb = pytest.importorskip("duckdb")
 
-# One parse per layout family is run elsewhere; these would repeat it at length.
-SLOW = {"parse_card", "parse_brokerage", "parse_vanguard", "parse_holdings", "parse_combined",
-        "parse_failures", "parsed_runs"}
-NAMES = [n for n in all_queries() if n not in SLOW]
+NAMES = list(all_queries())
 
 
 @pytest.fixture(scope="module")
