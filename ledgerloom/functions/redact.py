@@ -43,6 +43,7 @@ _ACCOUNT = r"\b\d{16,}+\b"
 # a stop mark first, so that the words can be one character class: a repeated group recurses
 # once per word and overflows the stack on long prose.
 _STOP = "\ufdd0"
+_OWN, _MARK = "\ufdd1", "\ufdd2"
 _LONE_LETTER = r"(?i)(?<=\s)[a-z](?=\s)"
 _STREET = rf"(?i)\b\d{{1,5}}\s+[a-z][a-z\s]*\s(?:{STREET_WORDS})\b"
 _MONEY = (
@@ -59,8 +60,12 @@ def _steps(text: Column) -> Iterator[tuple[str, Column, str, Column]]:
         after = F.regexp_replace(text, pattern, MASK)
         yield name, text, pattern, after
         text = after
-    marked = F.regexp_replace(text, _LONE_LETTER, "$0" + _STOP)
-    after = F.replace(F.regexp_replace(marked, _STREET, MASK), F.lit(_STOP), F.lit(""))
+    # A text's own stops are told apart from the marks, and stay.
+    hidden = F.replace(text, F.lit(_STOP), F.lit(_STOP + _OWN))
+    marked = F.regexp_replace(hidden, _LONE_LETTER, "$0" + _STOP + _MARK)
+    after = F.regexp_replace(marked, _STREET, MASK)
+    after = F.replace(after, F.lit(_STOP + _MARK), F.lit(""))
+    after = F.replace(after, F.lit(_STOP + _OWN), F.lit(_STOP))
     yield "STREET_ADDRESS", marked, _STREET, after
     yield "MONEY_FIELD", after, _MONEY, F.regexp_replace(after, _MONEY, "$1" + AMOUNT_MASK)
 

@@ -82,6 +82,9 @@ def guarded_aggregate(
     for other, key in joins:
         right = tables[other]
         shared = [c for c in right.columns if c in frame.columns and c != key]
+        ambiguous = sorted(set(shared) & set(mentioned))
+        if ambiguous:
+            raise QueryError(f"column in more than one table: {', '.join(ambiguous)}")
         frame = frame.join(right.drop(*shared), key)
     for column, comparison, literal in where:
         if comparison not in _COMPARISONS:

@@ -61,3 +61,11 @@ def test_nested(spark):
     scrubbed = redact_frame(row, scrub_row_pii=True).first()
     assert scrubbed.r.description == scrubbed.page_text == "[REDACTED]"
     assert scrubbed.r.extra["account_mask"] == "[REDACTED]"
+
+
+def test_marks_leave_other_characters(spark):
+    kept = "\ufdd0 a \ufdd1\ufdd0\ufdd2 b\ufdd0"
+    rows = [(kept,), (kept + " 12 Long Main Street x \ufdd0",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(redact_text(F.col("t"))).collect()]
+    assert got[0] == kept and got[1].startswith(kept) and got[1].endswith(" x \ufdd0")
+    assert "Main" not in got[1]
