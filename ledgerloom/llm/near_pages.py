@@ -16,12 +16,14 @@ from ledgerloom.llm.frames import keyed_text, staged, union_all
 
 WORDS = 5
 THRESHOLD = 0.8
-TARGET_RECALL = 0.999999
+TARGET_RECALL = 0.99999
 SKETCH = 64
 # Tokens sampled at the root of a run, and at each later split of a bucket.
-ROOT_SAMPLES = 5
-SPLIT_SAMPLES = 3
-MAX_SPLITS = 2
+ROOT_SAMPLES = 6
+SPLIT_SAMPLES = 2
+MAX_SPLITS = 4
+# A bucket of which one token keeps so large a part together is alike, and is not split.
+ALIKE_PART = 0.7
 SMALL_BUCKET = 64
 BLOCK = 256
 # Sketches of alike sets differ by chance; four standard errors below the threshold still pass.
@@ -42,8 +44,13 @@ _FOUND = "set_id binary, links bigint, root binary"
 
 
 def runs_needed(threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
-    """Runs after which a pair just at the threshold shares a sampled token with that probability."""
-    miss = (1 - threshold) ** ROOT_SAMPLES
+    """Runs after which a pair just at the threshold shares a leaf with that probability.
+
+    The pair shares a root's token with the threshold's probability, and must share one of a split's
+    at every split, of which the most are reckoned with.
+    """
+    kept = threshold * (1 - (1 - threshold) ** SPLIT_SAMPLES) ** MAX_SPLITS
+    miss = (1 - kept) ** ROOT_SAMPLES
     return max(1, math.ceil(math.log(1 - target) / math.log(miss)))
 
 
@@ -252,28 +259,39 @@ def _verify(threshold: float, least: float):
 
 
 def _leaves(sets: DataFrame, runs: int) -> DataFrame:
-    """(path, set_id, n): buckets of two or more, split on sampled tokens while they are large."""
+    """(path, set_id, n): buckets of two or more, split on sampled tokens while they are large.
+
+    A large bucket that a sampled token keeps together for the most part holds sets that are alike;
+    splitting would only copy it, so it becomes a leaf whole.
+    """
     samples = [
         F.xxhash64(F.lit(k), F.get("sketch", F.lit(k))) for k in range(runs * ROOT_SAMPLES)]
     level = sets.select("set_id", F.explode(F.array(*samples)).alias("path"))
-    leaves = []
-    for depth in range(MAX_SPLITS + 1):
-        sizes = level.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
-        level = staged(level.join(sizes, "path"), "buckets")
-        if depth == MAX_SPLITS:
-            leaves.append(level)
-            break
-        leaves.append(level.filter(F.col("n") <= SMALL_BUCKET))
-        large = level.filter(F.col("n") > SMALL_BUCKET).drop("n")
+    sizes = level.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
+    level = staged(level.join(sizes, "path").select("path", "set_id", "n"), "buckets")
+    leaves = [level.filter(F.col("n") <= SMALL_BUCKET)]
+    large = level.filter(F.col("n") > SMALL_BUCKET)
+    for _ in range(MAX_SPLITS):
         if large.isEmpty():
-            break
+            return union_all(leaves)
         turn = [F.pmod(F.xxhash64("path", F.lit(k)), F.lit(SKETCH)).cast("int")
                 for k in range(SPLIT_SAMPLES)]
         child = F.array_distinct(F.array(*[
             F.xxhash64("path", t, F.get("sketch", t)) for t in turn]))
-        level = large.join(sets.select("set_id", "sketch"), "set_id").select(
-            "set_id", F.explode(child).alias("path"))
-    return union_all(leaves)
+        split = large.join(sets.select("set_id", "sketch"), "set_id").select(
+            "set_id", F.col("path").alias("parent"), F.col("n").alias("parent_n"),
+            F.explode(child).alias("path"))
+        sizes = staged(split.groupBy("path", "parent", "parent_n").agg(F.count("*").alias("n")),
+                       "bucket-sizes")
+        alike = staged(sizes.filter(F.col("n") >= ALIKE_PART * F.col("parent_n"))
+                       .select(F.col("parent").alias("path")).distinct(), "alike-buckets")
+        leaves.append(large.join(alike, "path", "left_semi"))
+        going = sizes.filter("n > 1").join(
+            alike.withColumnRenamed("path", "parent"), "parent", "left_anti").select("path", "n")
+        level = staged(split.join(going, "path").select("path", "set_id", "n"), "buckets")
+        leaves.append(level.filter(F.col("n") <= SMALL_BUCKET))
+        large = level.filter(F.col("n") > SMALL_BUCKET)
+    return union_all([*leaves, large])
 
 
 def near_duplicate_pages(raw_pages: DataFrame, threshold: float = THRESHOLD,
