@@ -13,12 +13,14 @@ _DIR = "spark.checkpoint.dir"
 def stage_folder(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``.
 
-    Only a local session (tests) may fall back to a folder of its own.
+    Only a session inside one process (``local``, ``local[n]``), as in tests, may fall back to a
+    folder of its own; executors in processes of their own never share it.
     """
     folder = spark.conf.get(_DIR, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {_DIR} to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="ledgerloom-stage-")
     spark.sparkContext.setCheckpointDir(folder)
