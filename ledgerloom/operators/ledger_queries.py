@@ -263,13 +263,19 @@ def _category_sum(category: str) -> Column:
     return F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
 
 
-def latest_runs(ledger: Ledger) -> Ledger:
-    """Keep, per account and period, only statements of the newest run id.
+def latest_runs(ledger: Ledger, runs: DataFrame | None = None) -> Ledger:
+    """Keep, per account and period, only statements of the newest run.
 
-    Re-ingested files otherwise count once per run.
+    ``runs`` (run_id, batch_id) tells which run came later; ids are digests and have no order in
+    time. Without it the largest run id is taken. Re-ingested files otherwise count once per run.
     """
     key = ["account_id", "statement_start_date", "statement_end_date"]
-    newest = ledger.statements.groupBy(*key).agg(F.max("run_id").alias("run_id"))
+    dated = ledger.statements.select(*key, "run_id")
+    order = ["run_id"]
+    if runs is not None:
+        dated, order = dated.join(runs.select("run_id", "batch_id"), "run_id"), ["batch_id", "run_id"]
+    newest = dated.groupBy(*key).agg(F.max(F.struct(*order)).alias("_last")).select(
+        *key, F.col("_last.run_id").alias("run_id"))
     statements = ledger.statements.join(newest, [*key, "run_id"], "left_semi")
     ids = statements.select("statement_id")
     kept = {

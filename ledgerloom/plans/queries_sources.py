@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.ledger_queries import latest_runs
 from ledgerloom.operators.outcome import parse_and_check
 from ledgerloom.plans import derive as D
 from ledgerloom.plans.oracle import on_ledger
 from ledgerloom.plans.queries_text import rendered
 from ledgerloom.sources import pages as PG
 from ledgerloom.sources import payloads as PL
-from ledgerloom.sources.ledger_store import read_ledger, read_month, write_ledger
+from ledgerloom.sources.ledger_store import read_ledger, read_month, table_path, write_ledger
 from ledgerloom.sources.stage import stage_folder, staged
 from ledgerloom.streaming.ingest import ingest_stream
 
@@ -232,12 +233,39 @@ def ingest_stream_ledger(spark, sf_dir):
     query = ingest_stream(spark, source, sink, _fresh_folder(spark, "progress"), max_files=2)
     query.awaitTermination()
     ledger = read_ledger(spark, sink)
+    # A run goes back to the document that it read.
+    runs = spark.read.parquet(table_path(sink, "extraction_runs")).select(
+        "run_id", F.col("doc_id").alias("_doc"))
     return ledger.transactions.join(
         ledger.statements.select("statement_id", "run_id"), "statement_id"
-    ).select("run_id", "line_no", "post_date", "amount_cents", "transaction_category",
+    ).join(runs, "run_id").drop("run_id").withColumnRenamed("_doc", "run_id").select("run_id", "line_no", "post_date", "amount_cents", "transaction_category",
              "balance_after_cents")
 
 
+def ingest_repeated(spark, sf_dir):
+    """The same statements arriving twice: per sound document its payloads, runs and newest lines."""
+    source, sink = _fresh_folder(spark, "arrivals"), _fresh_folder(spark, "sink")
+    progress = _fresh_folder(spark, "progress")
+    printed = rendered(spark, sf_dir, "depository").select("doc_id", "page_number", "page_text")
+    for _ in range(2):
+        printed.repartition(2, "doc_id").write.mode("append").parquet(source)
+        ingest_stream(spark, source, sink, progress).awaitTermination()
+    runs = spark.read.parquet(table_path(sink, "extraction_runs"))
+    payloads = spark.read.parquet(table_path(sink, "raw_payloads"))
+    newest = latest_runs(read_ledger(spark, sink), runs)
+    lines = newest.transactions.join(newest.statements.select("statement_id", "run_id"), "statement_id")
+    counted = lines.groupBy("run_id").agg(F.count("*").alias("n_lines"))
+    stored = payloads.groupBy("raw_payload_id").agg(F.count("*").alias("n_payloads"))
+    return (
+        runs.join(stored, "raw_payload_id").join(counted, "run_id", "left")
+        .groupBy(F.col("doc_id").alias("run_id")).agg(
+            F.count("*").alias("n_runs"), F.max("n_payloads").alias("n_payloads"),
+            F.sum("n_lines").cast("bigint").alias("n_lines"))
+        # Statements that fail their checks have runs, and no lines.
+        .filter("n_lines IS NOT NULL")
+    )
+
+
 def parsed_runs(spark, sf_dir):
     """Run table of a parse: every routed card statement with its final state."""
     _, runs, _ = parse_and_check(staged(rendered(spark, sf_dir, "card"), "again"))
@@ -291,4 +319,10 @@ QUERIES: dict[str, tuple] = {
                   "t.transaction_category, t.balance_after_cents FROM txn t JOIN dep USING "
                   "(statement_id) WHERE fees_cents >= 0"),
     ),
+    "ingest_repeated": (
+        ingest_repeated,
+        on_ledger("SELECT t.statement_id AS run_id, 2 AS n_runs, 1 AS n_payloads, "
+                  "count(*) AS n_lines FROM txn t JOIN dep USING (statement_id) "
+                  "WHERE fees_cents >= 0 GROUP BY t.statement_id"),
+    ),
 }
