@@ -24,8 +24,9 @@ SPLIT_SAMPLES = 2
 MAX_SPLITS = 4
 # A bucket of which one token keeps so large a part together is alike, and is not split.
 ALIKE_PART = 0.7
-SMALL_BUCKET = 64
 BLOCK = 256
+# A bucket that fits one block is compared at once.
+SMALL_BUCKET = BLOCK
 # Sketches of alike sets differ by chance; four standard errors below the threshold still pass.
 SKETCH_SLACK = 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SKETCH)
 
