@@ -38,7 +38,7 @@ BYTE_PATTERN = re.compile(
     f" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 WORD_PATTERN = re.compile(f"[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_N}]|[^{_S}{_L}{_N}]+")
 
-_REMEMBERED = 600_000
+_REMEMBERED = 350_000
 _LONG = 1 << 18
 # A special token's string, or a split's look at the next character, reaches this far at most.
 GUARD_CHARS = 32

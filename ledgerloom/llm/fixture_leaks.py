@@ -15,7 +15,7 @@ Q = 10
 ERROR_RATE = 0.08
 MIN_FIXTURE_BYTES = 40
 SLICE_BYTES = 4 << 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _FILTER_BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
