@@ -183,6 +183,9 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 def _searched(vectors: DataFrame, queries: DataFrame, tree: VectorTree, visits: int, k: int) -> DataFrame:
     """(query_id, vec_id, distance): the k nearest in every visited block of a leaf."""
     sizes = vectors.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF_BLOCK).cast("int").alias("blocks"))
+    # One row for each leaf, and the sample bounds the leaves. Without the hint the exploded queries,
+    # whose size Spark can't foresee, may be sent instead.
+    sizes = F.broadcast(sizes)
     blocks = vectors.join(sizes, "leaf").withColumn(
         "block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     asked = (
