@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.frames import keyed_text, staged, union_all
+from ledgerloom.llm.frames import keyed_text, local_path, shared_folder, staged, union_all
 
 ORDER = 4
 # Trusted pages above this quantile of their language's perplexities mark the threshold.
@@ -29,7 +30,7 @@ CELLS = SYMBOLS**ORDER
 _POINTS = 0x250
 
 _COUNTS = "lang string, gram int, n bigint"
-_TABLE = "lang string, cells binary"
+_TABLE = "lang string, path string"
 
 
 def _symbol_of(point: int) -> int:
@@ -103,42 +104,51 @@ def _discounts(grams: DataFrame) -> DataFrame:
         .otherwise(F.lit(k / 2)).alias(f"d{k}") for k in (1, 2, 3)])
 
 
-def _interpolated(grams: DataFrame, order: int, below: DataFrame | None, langs: list[str]) -> DataFrame:
-    """(lang, gram, p) of every possible gram of an order: discounted counts joined over shards.
+def _shares(grams: DataFrame, order: int) -> DataFrame:
+    """(lang, part, n_symbols, number, share) of the seen grams and contexts of one order.
 
-    p = (n - d(n)) / total + (d1 N1 + d2 N2 + d3 N3) / total * p of the gram without its first
-    symbol, where N counts the context's grams seen once, twice and more.
+    A seen gram's share is its discounted count over its context's total; a context's is what
+    the discounts leave to shorter grams, over the same total. Counts and contexts are joined in shards.
     """
-    shards = [(F.col("gram") / F.lit(SYMBOLS)).cast("int").alias("context")]
-    seen = grams.join(F.broadcast(_discounts(grams)), "lang").withColumn(
+    seen = grams.join(_discounts(grams), "lang").withColumn(
         "d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2"))
-        .otherwise(F.col("d3"))).select("lang", "gram", "n", "d", *shards)
+        .otherwise(F.col("d3"))).select(
+        "lang", "gram", "n", "d", (F.col("gram") / F.lit(SYMBOLS)).cast("int").alias("context"))
     contexts = seen.groupBy("lang", "context").agg(
         F.sum("n").alias("total"), F.sum("d").alias("given"))
-    every = grams.sparkSession.range(SYMBOLS**order).select(
-        F.col("id").cast("int").alias("gram"),
-        F.explode(F.array(*[F.lit(x) for x in langs])).alias("lang"))
-    every = every.withColumn("context", (F.col("gram") / F.lit(SYMBOLS)).cast("int"))
-    joined = (
-        every.join(seen.select("lang", "gram", "n", "d"), ["lang", "gram"], "left")
-        .join(contexts, ["lang", "context"], "left")
-    )
-    if below is None:
-        joined = joined.withColumn("lower", F.lit(1.0 / SYMBOLS))
-    else:
-        joined = joined.withColumn("rest", F.pmod(F.col("gram"), F.lit(SYMBOLS**(order - 1)))).join(
-            below.select("lang", F.col("gram").alias("rest"), F.col("p").alias("lower")), ["lang", "rest"])
-    p = F.when(F.col("total").isNull(), F.col("lower")).otherwise(
-        (F.coalesce("n", F.lit(0)) - F.coalesce("d", F.lit(0.0))) / F.col("total")
-        + F.col("given") / F.col("total") * F.col("lower"))
-    return joined.select("lang", "gram", p.alias("p"))
-
-
-def _packed(rows: pd.DataFrame) -> pd.DataFrame:
-    """One language's table; its size is fixed, 36^4 cells."""
-    cells = np.zeros(CELLS, np.float32)
-    cells[rows["gram"].to_numpy()] = np.log(rows["p"].to_numpy())
-    return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "cells": [cells.tobytes()]})
+    kept = seen.join(contexts, ["lang", "context"]).select(
+        "lang", F.lit("gram").alias("part"), F.lit(order).alias("n_symbols"),
+        F.col("gram").alias("number"), ((F.col("n") - F.col("d")) / F.col("total")).alias("share"))
+    left = contexts.select(
+        "lang", F.lit("context").alias("part"), F.lit(order).alias("n_symbols"),
+        F.col("context").alias("number"), (F.col("given") / F.col("total")).alias("share"))
+    return kept.unionByName(left)
+
+
+def _packed(folder: str):
+    """One language's table, shorter grams first, written to a file; its size is fixed, 36^4 cells.
+
+    p = share of the gram (none if unseen) + share of the context (all if unseen) * p of the gram
+    without its first symbol; below one symbol all are alike.
+    """
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        p = np.full(1, 1.0 / SYMBOLS)
+        for order in range(1, ORDER + 1):
+            mine = rows[rows["n_symbols"] == order]
+            own, rest = np.zeros(SYMBOLS**order), np.ones(SYMBOLS**(order - 1))
+            for part, cells in (("gram", own), ("context", rest)):
+                some = mine[mine["part"] == part]
+                cells[some["number"].to_numpy()] = some["share"].to_numpy()
+            shorter = np.arange(SYMBOLS**order) % SYMBOLS**(order - 1)
+            p = own + np.repeat(rest, SYMBOLS) * p[shorter]
+        system, root = local_path(folder)
+        system.create_dir(root, recursive=True)
+        # A name of its own for every attempt; only a finished one's is returned.
+        name = f"{folder}/{uuid.uuid4().hex}.f32"
+        with system.open_output_stream(local_path(name)[1], compression=None) as out:
+            out.write(np.log(p).astype(np.float32).tobytes())
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "path": [name]})
+    return run
 
 
 def trusted_grams(trusted_pages: DataFrame) -> DataFrame:
@@ -150,30 +160,41 @@ def trusted_grams(trusted_pages: DataFrame) -> DataFrame:
     return own.unionByName(pooled)
 
 
-def gram_probabilities(grams: DataFrame, langs: list[str]) -> DataFrame:
-    """(lang, gram, p) of every gram of four symbols under the interpolated model."""
+def gram_tables(grams: DataFrame) -> DataFrame:
+    """(lang, path): files in the shared folder with the log probability of every four-symbol gram."""
     orders = {ORDER: grams}
     for order in range(ORDER - 1, 0, -1):
         # A shorter gram counts by how many different symbols stand before it.
         orders[order] = orders[order + 1].groupBy(
             "lang", F.pmod(F.col("gram"), F.lit(SYMBOLS**order)).cast("int").alias("gram")
         ).agg(F.count("*").alias("n"))
-    below = None
-    for order in range(1, ORDER + 1):
-        below = staged(_interpolated(orders[order], order, below, langs), f"probabilities-{order}")
-    return below
+    shares = union_all([_shares(orders[order], order) for order in range(1, ORDER + 1)])
+    folder = shared_folder(grams.sparkSession, "gram-tables")
+    return shares.groupBy("lang").applyInPandas(_packed(folder), _TABLE)
+
+
+def _table(path: str) -> np.ndarray:
+    system, where = local_path(path)
+    with system.open_input_file(where) as file:
+        return np.frombuffer(file.read(), np.float32)
 
 
 @dataclass(frozen=True)
 class PageModel:
-    """Log probabilities of grams for some languages; each table has a fixed size of 6.7 MB."""
+    """Files with the log probabilities of grams, one of 6.7 MB for each language.
+
+    Tasks read them from the shared folder; nothing but their paths passes through the driver.
+    """
 
-    tables: dict[str, np.ndarray]
+    paths: dict[str, str]
 
     def perplexity(self, lang: Column, page_text: Column) -> Column:
-        tables = self.tables
+        paths = self.paths
 
         def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            tables = {lang_: _table(path) for lang_, path in paths.items()}
+            if POOLED not in tables:
+                tables[POOLED] = np.full(CELLS, -np.log(SYMBOLS), np.float32)
             for langs, texts in parts:
                 out = []
                 for lang_, text in zip(langs, texts, strict=True):
@@ -205,16 +226,12 @@ def page_perplexity(raw_pages: DataFrame, trusted: DataFrame, quantile: float =
         "lang", F.coalesce("lang", F.lit("")))
     known = trusted.select("raw_page_id").distinct().withColumn("_trusted", F.lit(True))
     grams = trusted_grams(pages.join(known, "raw_page_id", "left_semi"))
-    langs = sorted(r.lang for r in grams.select("lang").distinct().collect())
-    langs = langs if POOLED in langs else [*langs, POOLED]
-    own = [x for x in langs if x != POOLED]
-    every = staged(
-        gram_probabilities(grams, langs).groupBy("lang").applyInPandas(_packed, _TABLE), "gram-tables")
+    paths = {r.lang: r.path for r in staged(gram_tables(grams), "gram-tables").collect()}
+    own = sorted(x for x in paths if x != POOLED)
     passes = []
     for at in range(0, max(1, len(own)), LANGUAGES_PER_PASS):
         some = own[at:at + LANGUAGES_PER_PASS]
-        rows = every.filter(F.col("lang").isin(*some, POOLED)).collect()
-        model = PageModel({r.lang: np.frombuffer(r.cells, np.float32) for r in rows})
+        model = PageModel({x: paths[x] for x in (*some, POOLED) if x in paths})
         here = F.col("lang").isin(*some) if some else F.lit(False)
         if at == 0:
             here = here | ~F.col("lang").isin(*own) if own else F.lit(True)
