@@ -225,7 +225,8 @@ def page_perplexity(raw_pages: DataFrame, trusted: DataFrame, quantile: float =
     pages = keyed_text(raw_pages, "raw_page_id", "lang", "page_text").withColumn(
         "lang", F.coalesce("lang", F.lit("")))
     known = trusted.select("raw_page_id").distinct().withColumn("_trusted", F.lit(True))
-    grams = trusted_grams(pages.join(known, "raw_page_id", "left_semi"))
+    # Both sides are shuffled at every size: trusted ids may be as many as the pages.
+    grams = trusted_grams(pages.join(known.hint("merge"), "raw_page_id", "left_semi"))
     paths = {r.lang: r.path for r in staged(gram_tables(grams), "gram-tables").collect()}
     own = sorted(x for x in paths if x != POOLED)
     passes = []
