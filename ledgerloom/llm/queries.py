@@ -16,9 +16,9 @@ from ledgerloom.llm.packing import pack_pages
 from ledgerloom.llm.page_flags import PageFlags, fit_page_flags
 from ledgerloom.llm.page_tokens import count_page_tokens
 from ledgerloom.llm.payload_archive import read_payload_archive, write_payload_archive
-from ledgerloom.llm.perplexity import page_perplexity
 from ledgerloom.llm.repeated_bytes import remove_repeated_bytes
 from ledgerloom.llm.vector_tree import nearest_vectors
+from ledgerloom.llm.word_perplexity import page_word_perplexity
 
 
 def tokenizer_file(name: str) -> str:
@@ -177,7 +177,7 @@ def op9_pack_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_page_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels")
     trusted = labels.filter("quality = 1").select(F.col("doc_id").alias("raw_page_id"))
-    scored = page_perplexity(as_pages(read(spark, sf_dir, "documents"), "lang"), trusted)
+    scored = page_word_perplexity(as_pages(read(spark, sf_dir, "documents"), "lang"), trusted)
     return scored.select(F.col("raw_page_id").alias("doc_id"), "lang", "perplexity", "threshold",
                          F.col("keep").cast("int").alias("high_quality"))
 
