@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.boilerplate import strip_spread_lines
 from ledgerloom.llm.fixture_leaks import find_fixture_leaks
 from ledgerloom.llm.frames import staged
-from ledgerloom.llm.near_pages import one_of_each_class
+from ledgerloom.llm.near_pages import near_duplicate_pages, one_of_each_class
 from ledgerloom.llm.queries import (
     as_fixtures,
     as_pages,
@@ -40,8 +40,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many sources share."""
-    return _as_documents(strip_spread_lines(_as_institution_pages(docs)))
+    """Documents without the lines that many sources share; near copies count for one source."""
+    pages = _as_institution_pages(docs)
+    classes = staged(near_duplicate_pages(pages), "line-classes")
+    return _as_documents(strip_spread_lines(pages, classes=classes))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

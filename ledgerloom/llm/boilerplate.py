@@ -52,7 +52,24 @@ def spread_lines(lines: DataFrame, min_institutions: int = MIN_INSTITUTIONS) ->
     return sure.unionByName(counted)
 
 
-def strip_spread_lines(raw_pages: DataFrame, min_institutions: int = MIN_INSTITUTIONS) -> DataFrame:
+def _class_sites(pages: DataFrame, classes: DataFrame) -> DataFrame:
+    """(row key, institution): the one institution that the rows of a near-copy class count for."""
+    tag = F.xxhash64("page_text")
+    known = classes.select(
+        F.col("raw_page_id").alias("_page"), F.col("tag").alias("_tag"), "class_id").distinct()
+    rows = pages.select("raw_page_id", "institution", tag.alias("_text"), *_row_key()).distinct()
+    named = rows.join(
+        known, rows["raw_page_id"].eqNullSafe(known["_page"]) & (rows["_text"] == known["_tag"]), "left"
+    ).select("_row1", "_row2", "raw_page_id", "institution", F.coalesce(
+        F.concat(F.lit("class "), F.col("class_id").cast("string")),
+        F.concat(F.lit("text "), F.col("_text").cast("string"))).alias("_class"))
+    first = named.filter("institution IS NOT NULL").groupBy("_class").agg(
+        F.min_by("institution", F.struct("raw_page_id", "institution")).alias("_site"))
+    return named.join(first, "_class").select("_row1", "_row2", F.col("_site").alias("institution"))
+
+
+def strip_spread_lines(raw_pages: DataFrame, min_institutions: int = MIN_INSTITUTIONS,
+                       classes: DataFrame | None = None) -> DataFrame:
     """Page text without the lines that many institutions print.
 
     ``raw_pages`` has raw_page_id, institution and page_text. A line is what stands between line
@@ -60,7 +77,9 @@ def strip_spread_lines(raw_pages: DataFrame, min_institutions: int = MIN_INSTITU
     spread if at least ``min_institutions`` distinct institutions print it: a sketch for each line
     hash decides the clear cases, lines within six standard errors of the threshold are counted
     exactly. Spread lines are removed from a page where they make up at most half of its inked
-    bytes. A page that is mostly spread lines is itself a copy, and left to near-duplicate search.
+    bytes; above that all of them stay, whether or not the page is a copy. With ``classes`` (rows of
+    ``near_duplicate_pages`` on the same pages) they are removed from every page that has another
+    inked line, and pages of one class count for one institution, so that copies spread no line.
 
     Returns every input row and column with page_text replaced, and n_lines (with ink), n_spread,
     n_removed; an input column of such a name is replaced. Null text counts as empty and gives empty text; a
@@ -70,8 +89,10 @@ def strip_spread_lines(raw_pages: DataFrame, min_institutions: int = MIN_INSTITU
     pages = raw_pages.withColumn("page_text", text)
     lines = page_lines(pages.select("raw_page_id", "institution", "page_text"))
     row = ["_row1", "_row2"]
+    counted = lines if classes is None else lines.drop("institution").join(
+        _class_sites(pages, classes), row)
     found = (
-        lines.join(spread_lines(lines, min_institutions), ["_line1", "_line2"], "left_semi")
+        lines.join(spread_lines(counted, min_institutions), ["_line1", "_line2"], "left_semi")
         # A repeated row meets its twin here; its positions count once.
         .groupBy(*row).agg(F.collect_set(F.struct("_at", "_bytes")).alias("_found"))
     )
@@ -81,7 +102,8 @@ def strip_spread_lines(raw_pages: DataFrame, min_institutions: int = MIN_INSTITU
         lambda n, x: n + F.octet_length(_stripped(x)))
     spread_bytes = F.aggregate(
         F.col("_found"), F.lit(0).cast("bigint"), lambda n, x: n + x["_bytes"])
-    removed = F.when(F.col("_found").isNotNull() & (spread_bytes * 2 <= inked),
+    strip = spread_bytes * 2 <= inked if classes is None else spread_bytes < inked
+    removed = F.when(F.col("_found").isNotNull() & strip,
                      F.transform("_found", lambda x: x["_at"]))
 
     def without(page: Column) -> Column:
