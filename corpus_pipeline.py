@@ -53,9 +53,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaks = find_fixture_leaks(as_pages(docs), as_fixtures(read(spark, sf_dir, "benchmark")))
-    leaked = leaks.select(F.col("raw_page_id").alias("doc_id")).distinct()
-    return docs.select(*COLUMNS).join(leaked, "doc_id", "left_anti").select(*COLUMNS)
+    # Rows of one id are told apart by their text; a null id is an id like others.
+    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_row"))
+    pages = keyed.select(F.col("_row").alias("raw_page_id"), F.col("text").alias("page_text"))
+    leaks = find_fixture_leaks(pages, as_fixtures(read(spark, sf_dir, "benchmark")))
+    leaked = leaks.select(F.col("raw_page_id").alias("_row")).distinct()
+    return keyed.join(leaked, "_row", "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

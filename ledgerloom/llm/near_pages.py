@@ -315,6 +315,11 @@ def near_duplicate_pages(raw_pages: DataFrame, threshold: float = THRESHOLD,
     A page without words (null or empty too) is alone: its own class, no links. Repeated rows link
     to each other. A null id takes part; its class is the smallest id that is not null.
     """
+    return _rooted_pages(raw_pages, threshold, target_recall).drop("root")
+
+
+def _rooted_pages(raw_pages: DataFrame, threshold: float, target_recall: float) -> DataFrame:
+    """``near_duplicate_pages`` with root, which tells classes of one class_id apart; null without words."""
     least = threshold - SKETCH_SLACK
     pages = keyed_text(raw_pages, "raw_page_id", "page_text").select(
         F.col("raw_page_id").cast("bigint").alias("raw_page_id"), "page_text",
@@ -362,7 +367,7 @@ def near_duplicate_pages(raw_pages: DataFrame, threshold: float = THRESHOLD,
     least_id = facts.filter("_root IS NOT NULL").groupBy("_root").agg(
         F.min("raw_page_id").alias("_class"))
     return facts.join(least_id, "_root", "left").select(
-        "raw_page_id", "tag",
+        "raw_page_id", "tag", F.col("_root").alias("root"),
         F.when(F.col("_root").isNull(), F.col("raw_page_id")).otherwise(F.col("_class"))
         .alias("class_id"),
         (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("_links", F.lit(0))).alias("n_links"),
@@ -373,20 +378,23 @@ def one_of_each_class(raw_pages: DataFrame, threshold: float = THRESHOLD) -> Dat
     """The input rows without those that a row of smaller id in their class stands for.
 
     Of each class the smallest raw_page_id stays, once, with all its columns; rows without words stay.
-    Rows of null id stay only if they are alone.
+    Rows that share an id but no class are kept each. Of a class with ids no row of null id stays; of
+    one whose ids are all null one row does.
     """
-    classes = staged(near_duplicate_pages(raw_pages, threshold), "page-classes")
+    classes = staged(_rooted_pages(raw_pages, threshold, TARGET_RECALL), "page-classes")
     kept = classes.filter(F.col("class_id").eqNullSafe(F.col("raw_page_id"))).select(
-        F.col("raw_page_id").alias("_page"), F.col("tag").alias("_tag"), "class_id", "n_links")
+        F.col("raw_page_id").alias("_page"), F.col("tag").alias("_tag"), "root", "n_links")
     tag = F.xxhash64(F.coalesce(F.col("page_text"), F.lit("")))
-    twins = kept.filter("n_links > 0").groupBy("_page").count().filter("count > 1")
-    found = kept.select("_page", "_tag").distinct()
+    linked = kept.filter("n_links > 0")
+    twins = linked.groupBy("_page", "root").count().filter("count > 1").select(
+        F.col("_page").alias("_twin"), F.col("root").alias("_class"))
+    twin = kept["_page"].eqNullSafe(twins["_twin"]) & (kept["root"] == twins["_class"])
+    found = kept.join(twins, twin, "left").select("_page", "_tag", "_class").distinct()
     rest = raw_pages.withColumn("_tag0", tag).join(
-        found, F.col("raw_page_id").eqNullSafe(F.col("_page")) & (F.col("_tag0") == F.col("_tag")),
-        "left_semi")
+        found, F.col("raw_page_id").eqNullSafe(F.col("_page")) & (F.col("_tag0") == F.col("_tag")))
     if twins.isEmpty():
-        return rest.drop("_tag0")
-    # Some id comes in several rows that are linked: one row of each such id stays.
-    again = rest.join(twins, rest["raw_page_id"].eqNullSafe(twins["_page"]), "left_semi")
-    single = rest.join(twins, rest["raw_page_id"].eqNullSafe(twins["_page"]), "left_anti")
-    return single.unionByName(again.dropDuplicates(["raw_page_id"])).drop("_tag0")
+        return rest.select(*raw_pages.columns)
+    # Some class has several rows of its smallest id: one of them stays.
+    single = rest.filter("_class IS NULL")
+    again = rest.filter("_class IS NOT NULL").dropDuplicates(["raw_page_id", "_class"])
+    return single.unionByName(again).select(*raw_pages.columns)
