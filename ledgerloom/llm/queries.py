@@ -14,10 +14,13 @@ from ledgerloom.llm.frames import shared_folder
 from ledgerloom.llm.near_pages import near_duplicate_pages
 from ledgerloom.llm.packing import pack_pages
 from ledgerloom.llm.page_flags import PageFlags, fit_page_flags
+from ledgerloom.llm.page_prints import near_print_pages
 from ledgerloom.llm.page_tokens import count_page_tokens
 from ledgerloom.llm.payload_archive import read_payload_archive, write_payload_archive
 from ledgerloom.llm.repeated_bytes import remove_repeated_bytes
+from ledgerloom.llm.resampling import resample_pages
 from ledgerloom.llm.vector_tree import nearest_vectors
+from ledgerloom.llm.whitening import whiten_vectors
 from ledgerloom.llm.word_perplexity import page_word_perplexity
 
 
@@ -182,6 +185,23 @@ def op10_page_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("keep").cast("int").alias("high_quality"))
 
 
+def op11_near_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_print_pages(as_pages(read(spark, sf_dir, "documents"))).withColumnRenamed(
+        "raw_page_id", "doc_id")
+
+
+def op12_resample_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = as_fixtures(read(spark, sf_dir, "benchmark")).withColumnRenamed("raw_text", "page_text")
+    drawn = resample_pages(as_pages(read(spark, sf_dir, "documents")), target)
+    return drawn.select(F.col("raw_page_id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op13_whiten_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A deviation beyond a long has no place in the column and comes as null.
+    return whiten_vectors(read(spark, sf_dir, "embeddings")).withColumn(
+        "deviation", F.col("deviation").try_cast("bigint"))
+
+
 QUERIES = {
     "op1_near_pages": (op1_near_pages, OP1_SQL),
     "op2_payload_archive": (op2_payload_archive, OP2_SQL),
@@ -193,4 +213,7 @@ QUERIES = {
     "op8_repeated_bytes": (op8_repeated_bytes, None),
     "op9_pack_pages": (op9_pack_pages, None),
     "op10_page_perplexity": (op10_page_perplexity, None),
+    "op11_near_prints": (op11_near_prints, None),
+    "op12_resample_pages": (op12_resample_pages, None),
+    "op13_whiten_vectors": (op13_whiten_vectors, None),
 }
