@@ -14,7 +14,7 @@ from ledgerloom.plans.oracle import on_ledger
 from ledgerloom.plans.queries_text import rendered
 from ledgerloom.sources import pages as PG
 from ledgerloom.sources import payloads as PL
-from ledgerloom.sources.ledger_store import read_ledger, read_month, table_path, write_ledger
+from ledgerloom.sources.ledger_store import read_ledger, read_month, read_table, write_ledger
 from ledgerloom.sources.stage import stage_folder, staged
 from ledgerloom.streaming.ingest import ingest_stream
 
@@ -223,6 +223,17 @@ def read_pages_back(spark, sf_dir):
     ).select("doc_id", "n_pages", F.coalesce("_first", F.lit(False)).alias("has_first"))
 
 
+def _lines_by_document(spark: SparkSession, sink: str) -> DataFrame:
+    """Stored lines; a run goes back to the document that it read."""
+    ledger = read_ledger(spark, sink)
+    runs = read_table(spark, sink, "extraction_runs").select("run_id", F.col("doc_id").alias("_doc"))
+    return ledger.transactions.join(
+        ledger.statements.select("statement_id", "run_id"), "statement_id"
+    ).join(runs, "run_id").select(
+        F.col("_doc").alias("run_id"), "line_no", "post_date", "amount_cents", "transaction_category",
+        "balance_after_cents")
+
+
 def ingest_stream_ledger(spark, sf_dir):
     """Printed bank statements arriving as files in several batches, then the stored lines."""
     source, sink = _fresh_folder(spark, "arrivals"), _fresh_folder(spark, "sink")
@@ -232,14 +243,20 @@ def ingest_stream_ledger(spark, sf_dir):
     ).write.parquet(source)
     query = ingest_stream(spark, source, sink, _fresh_folder(spark, "progress"), max_files=2)
     query.awaitTermination()
-    ledger = read_ledger(spark, sink)
-    # A run goes back to the document that it read.
-    runs = spark.read.parquet(table_path(sink, "extraction_runs")).select(
-        "run_id", F.col("doc_id").alias("_doc"))
-    return ledger.transactions.join(
-        ledger.statements.select("statement_id", "run_id"), "statement_id"
-    ).join(runs, "run_id").drop("run_id").withColumnRenamed("_doc", "run_id").select("run_id", "line_no", "post_date", "amount_cents", "transaction_category",
-             "balance_after_cents")
+    return _lines_by_document(spark, sink)
+
+
+def ingest_split_documents(spark, sf_dir):
+    """The same statements, the pages of every one of several pages coming in two batches."""
+    source, sink = _fresh_folder(spark, "arrivals"), _fresh_folder(spark, "sink")
+    progress = _fresh_folder(spark, "progress")
+    printed = rendered(spark, sf_dir, "depository").select("doc_id", "page_number", "page_text")
+    counted = printed.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_pages"))
+    halves = staged(printed.join(counted, "doc_id"), "halves")
+    for late in (1, 0):
+        halves.filter(F.col("page_number") % 2 == late).repartition(2).write.mode("append").parquet(source)
+        ingest_stream(spark, source, sink, progress).awaitTermination()
+    return _lines_by_document(spark, sink)
 
 
 def ingest_repeated(spark, sf_dir):
@@ -250,8 +267,8 @@ def ingest_repeated(spark, sf_dir):
     for _ in range(2):
         printed.repartition(2, "doc_id").write.mode("append").parquet(source)
         ingest_stream(spark, source, sink, progress).awaitTermination()
-    runs = spark.read.parquet(table_path(sink, "extraction_runs"))
-    payloads = spark.read.parquet(table_path(sink, "raw_payloads"))
+    runs = read_table(spark, sink, "extraction_runs")
+    payloads = read_table(spark, sink, "raw_payloads")
     newest = latest_runs(read_ledger(spark, sink), runs)
     lines = newest.transactions.join(newest.statements.select("statement_id", "run_id"), "statement_id")
     counted = lines.groupBy("run_id").agg(F.count("*").alias("n_lines"))
@@ -272,6 +289,11 @@ def parsed_runs(spark, sf_dir):
     return runs.select("run_id", "adapter_id", "status", "error_code")
 
 
+INGESTED = on_ledger(
+    "SELECT t.statement_id AS run_id, t.line_no, t.post_date, t.amount_cents, "
+    "t.transaction_category, t.balance_after_cents FROM txn t JOIN dep USING "
+    "(statement_id) WHERE fees_cents >= 0")
+
 QUERIES: dict[str, tuple] = {
     "scan_payloads": (scan_payloads, FILES),
     "dedupe_payloads": (
@@ -313,12 +335,8 @@ QUERIES: dict[str, tuple] = {
                   "CASE WHEN fees_charged_cents < 0 THEN 'InvariantError' END AS error_code "
                   "FROM card"),
     ),
-    "ingest_stream": (
-        ingest_stream_ledger,
-        on_ledger("SELECT t.statement_id AS run_id, t.line_no, t.post_date, t.amount_cents, "
-                  "t.transaction_category, t.balance_after_cents FROM txn t JOIN dep USING "
-                  "(statement_id) WHERE fees_cents >= 0"),
-    ),
+    "ingest_stream": (ingest_stream_ledger, INGESTED),
+    "ingest_split_documents": (ingest_split_documents, INGESTED),
     "ingest_repeated": (
         ingest_repeated,
         on_ledger("SELECT t.statement_id AS run_id, 2 AS n_runs, 1 AS n_payloads, "

@@ -42,19 +42,6 @@ def test_store_is_idempotent(spark, sf_dir, tmp_path):
         assert getattr(stored, name).count() == frame.count(), name
 
 
-def test_broken_off_write_is_completed(spark, sf_dir, tmp_path):
-    """Lines were stored but their statements were not: writing again adds only what lacks."""
-    ledger = derive_ledger(spark, sf_dir)
-    path = str(tmp_path / "ledger")
-    from ledgerloom.sources.ledger_store import _append
-
-    _append(ledger.transactions.filter("statement_id < '2'"), path, "transactions")
-    write_ledger(ledger, path)
-    stored = read_ledger(spark, path)
-    assert stored.transactions.count() == ledger.transactions.count()
-    assert stored.statements.count() == ledger.statements.count()
-
-
 def test_stage_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     folder = stage.stage_folder(spark)
