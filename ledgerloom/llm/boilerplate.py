@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.frames import staged
+
 MIN_INSTITUTIONS = 10
 LG_K = 12
 # Six standard errors of a sketch with 2^12 registers, rounded up; small counts get room for 2.
@@ -76,23 +78,26 @@ def strip_spread_lines(raw_pages: DataFrame, min_institutions: int = MIN_INSTITU
     breaks, compared without blanks at its ends; lines without ink are never removed. A line is
     spread if at least ``min_institutions`` distinct institutions print it: a sketch for each line
     hash decides the clear cases, lines within six standard errors of the threshold are counted
-    exactly. Spread lines are removed from a page where they make up at most half of its inked
-    bytes; above that all of them stay, whether or not the page is a copy. With ``classes`` (rows of
-    ``near_duplicate_pages`` on the same pages) they are removed from every page that has another
-    inked line, and pages of one class count for one institution, so that copies spread no line.
+    exactly. Spread lines are removed from every page that has another inked line; a page of nothing else
+    stays whole. With ``classes`` (rows of ``near_duplicate_pages`` on the same pages) pages of one class
+    count for one institution, so that copies spread no line.
 
     Returns every input row and column with page_text replaced, and n_lines (with ink), n_spread,
     n_removed; an input column of such a name is replaced. Null text counts as empty and gives empty text; a
     null institution counts for no line's spread; repeated rows are treated alike and all kept.
     """
-    text = F.coalesce(F.col("page_text"), F.lit(""))
-    pages = raw_pages.withColumn("page_text", text)
+    # The input's own columns are carried in one, so that no name of theirs meets one of these.
+    pages = raw_pages.select(
+        "raw_page_id", "institution", F.coalesce("page_text", F.lit("")).alias("page_text"),
+        F.struct("*").alias("_all"))
     lines = page_lines(pages.select("raw_page_id", "institution", "page_text"))
     row = ["_row1", "_row2"]
     counted = lines if classes is None else lines.drop("institution").join(
         _class_sites(pages, classes), row)
+    # Staged, so that the join's two sides are plain exchanges and a hot line's side can be split.
+    spread = staged(spread_lines(counted, min_institutions), "spread-lines")
     found = (
-        lines.join(spread_lines(counted, min_institutions), ["_line1", "_line2"], "left_semi")
+        lines.join(spread, ["_line1", "_line2"], "left_semi")
         # A repeated row meets its twin here; its positions count once.
         .groupBy(*row).agg(F.collect_set(F.struct("_at", "_bytes")).alias("_found"))
     )
@@ -102,8 +107,7 @@ def strip_spread_lines(raw_pages: DataFrame, min_institutions: int = MIN_INSTITU
         lambda n, x: n + F.octet_length(_stripped(x)))
     spread_bytes = F.aggregate(
         F.col("_found"), F.lit(0).cast("bigint"), lambda n, x: n + x["_bytes"])
-    strip = spread_bytes * 2 <= inked if classes is None else spread_bytes < inked
-    removed = F.when(F.col("_found").isNotNull() & strip,
+    removed = F.when(F.col("_found").isNotNull() & (spread_bytes < inked),
                      F.transform("_found", lambda x: x["_at"]))
 
     def without(page: Column) -> Column:
@@ -114,13 +118,15 @@ def strip_spread_lines(raw_pages: DataFrame, min_institutions: int = MIN_INSTITU
     # The lines are bound once, as a lambda's variable; a captured split would run for each line.
     page = F.struct(F.split("page_text", "\n", -1).alias("lines"), F.col("_removed").alias("removed"))
     n_lines = F.size(F.filter(F.split("page_text", "\n", -1), lambda x: F.length(_stripped(x)) > 0))
-    return keyed.withColumn("_removed", removed).withColumns({
+    new = {
         "n_lines": n_lines.cast("bigint"),
         "n_spread": F.coalesce(F.size("_found"), F.lit(0)).cast("bigint"),
         "n_removed": F.coalesce(F.size("_removed"), F.lit(0)).cast("bigint"),
         "page_text": F.when(F.col("_removed").isNull(), F.col("page_text")).otherwise(
             F.get(F.transform(F.array(page), without), F.lit(0))),
-    }).drop(*row, "_found", "_removed")
+    }
+    kept = {name: F.col("_all").getField(name) for name in raw_pages.columns} | new
+    return keyed.withColumn("_removed", removed).select(*[c.alias(n) for n, c in kept.items()])
 
 
 def strip_sql(table: str, key: str, site: str, text: str, least: int = MIN_INSTITUTIONS) -> str:
@@ -136,7 +142,7 @@ def strip_sql(table: str, key: str, site: str, text: str, least: int = MIN_INSTI
                 FROM inked_ i LEFT JOIN spread_ s ON i.ink_ = s.ink_),
     weighed_ AS (SELECT row_, count(*) FILTER (ink_ <> '') AS n_lines,
                  count(*) FILTER (spread_) AS n_spread,
-                 coalesce(sum(strlen(ink_)) FILTER (spread_), 0) * 2 <= sum(strlen(ink_)) AS strip_
+                 coalesce(sum(strlen(ink_)) FILTER (spread_), 0) < sum(strlen(ink_)) AS strip_
                  FROM marked_ GROUP BY row_),
     stripped_ AS (SELECT m.row_, any_value(w.n_lines) AS n_lines, any_value(w.n_spread) AS n_spread,
                   count(*) FILTER (w.strip_ AND m.spread_) AS n_removed,

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.frames import keyed_text, union_all
+from ledgerloom.llm.frames import keyed_text, typed_ids, union_all, worded_ids
 
 Q = 10
 ERROR_RATE = 0.08
@@ -19,7 +19,7 @@ BLOCK_BYTES = 1 << 20
 
 _FILTER_BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_SCHEMA = "raw_page_id bigint, fixture_id bigint, edits int"
+_SCHEMA = "raw_page_id string, fixture_id string, edits int"
 
 
 def plain_bytes(text: str) -> bytes:
@@ -171,7 +171,7 @@ def find_fixture_leaks(raw_pages: DataFrame, fixtures: DataFrame, slice_bytes: i
     """(raw_page_id, fixture_id, edits) of every page that holds a fixture's whole text.
 
     ``raw_pages`` has raw_page_id and page_text, ``fixtures`` (held-back statement texts) fixture_id
-    and raw_text. Both are compared in lower case with white space runs as one blank. A page
+    and raw_text; ids may be of any type. Both are compared in lower case with white space runs as one blank. A page
     holds a fixture of m bytes if some stretch of it is within int(0.08 m) byte edits. Such a
     stretch shares at least m - 9 - 10 * budget ten-byte grams with the fixture, on diagonals no
     further apart than the budget: pages are scanned for bands with that many, and only those
@@ -185,7 +185,8 @@ def find_fixture_leaks(raw_pages: DataFrame, fixtures: DataFrame, slice_bytes: i
     items = fixtures.select("fixture_id", F.coalesce("raw_text", F.lit("")).alias("raw_text")).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("raw_text")), F.lit(0))).first()[0]
     n_slices = max(1, -(-int(total) // slice_bytes))
-    pages = keyed_text(raw_pages, "raw_page_id", "page_text")
+    items = worded_ids(items, "fixture_id")
+    pages = worded_ids(keyed_text(raw_pages, "raw_page_id", "page_text"), "raw_page_id")
     passes = []
     for number in range(n_slices):
         # At most about slice_bytes: the hash deals the fixtures evenly over the slices.
@@ -196,6 +197,8 @@ def find_fixture_leaks(raw_pages: DataFrame, fixtures: DataFrame, slice_bytes: i
             passes.append(pages.mapInPandas(
                 _search([i for i, _ in pairs], [t for _, t in pairs]), _SCHEMA))
     if not passes:
-        return pages.select("raw_page_id", F.lit(None).cast("bigint").alias("fixture_id"),
-                            F.lit(None).cast("int").alias("edits")).filter(F.lit(False))
-    return union_all(passes).groupBy("raw_page_id", "fixture_id").agg(F.min("edits").alias("edits"))
+        found = pages.select("raw_page_id", F.lit(None).cast("string").alias("fixture_id"),
+                             F.lit(None).cast("int").alias("edits")).filter(F.lit(False))
+    else:
+        found = union_all(passes).groupBy("raw_page_id", "fixture_id").agg(F.min("edits").alias("edits"))
+    return typed_ids(found, raw_page_id=raw_pages, fixture_id=fixtures)

@@ -7,12 +7,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.sources.stage import stage_folder, staged
 
-__all__ = ["keyed_text", "local_path", "shared_folder", "staged", "text_batches", "union_all"]
+__all__ = ["keyed_text", "local_path", "shared_folder", "staged", "text_batches", "typed_ids",
+           "union_all", "worded_ids"]
 
 
 def keyed_text(raw_pages: DataFrame, *columns: str) -> DataFrame:
@@ -67,5 +68,12 @@ def text_batches(
             first = last
 
 
-def same_text(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
+def worded_ids(frame: DataFrame, *names: str) -> DataFrame:
+    """Ids as text: pandas keeps text beside nulls as it is, where whole numbers become floats."""
+    return frame.withColumns({name: F.col(name).cast("string") for name in names})
+
+
+def typed_ids(frame: DataFrame, **like: DataFrame) -> DataFrame:
+    """Ids back in the type that the named column of an input has."""
+    return frame.withColumns({
+        name: F.col(name).cast(source.schema[name].dataType) for name, source in like.items()})

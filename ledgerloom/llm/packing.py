@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ledgerloom.llm.encoding import encoder
-from ledgerloom.llm.frames import keyed_text
+from ledgerloom.llm.frames import keyed_text, typed_ids, worded_ids
 
 WINDOW = 2048
 END_ID = 1
@@ -23,7 +23,7 @@ INNER_CUT = 32
 STRIDE = 64
 BLOCK_TOKENS = 1 << 18
 
-SCHEMA = ("raw_page_id bigint, start bigint, length bigint, ids_crc32 bigint, page_tokens bigint, "
+SCHEMA = ("raw_page_id string, start bigint, length bigint, ids_crc32 bigint, page_tokens bigint, "
           "sequence_id bigint, seq_offset bigint")
 
 
@@ -144,7 +144,7 @@ def pack_pages(raw_pages: DataFrame, tokenizer_path: str, window: int = WINDOW,
                end_id: int = END_ID) -> DataFrame:
     """Pieces of all pages in sequences of at most ``window`` tokens, pages kept in table order.
 
-    ``raw_pages`` has raw_page_id and page_text; other columns are ignored. A page is the ids of
+    ``raw_pages`` has raw_page_id (any type) and page_text; other columns are ignored. A page is the ids of
     its text without special tokens, then ``end_id``. Each partition is a run of pages; its cut
     places are page ends, sentence ends, and steps of 64 tokens through longer sentences. Windows
     are chosen to make padding plus the fees for cut pages least. Every id lies in one piece.
@@ -156,5 +156,6 @@ def pack_pages(raw_pages: DataFrame, tokenizer_path: str, window: int = WINDOW,
     is kept as null; an empty table gives no piece. Nothing is shuffled, a task holds one
     block of tokens and one text, and a retried task makes the same pieces from the same rows.
     """
-    return keyed_text(raw_pages, "raw_page_id", "page_text").mapInPandas(
-        _pack(tokenizer_path, window, end_id), SCHEMA)
+    pages = worded_ids(keyed_text(raw_pages, "raw_page_id", "page_text"), "raw_page_id")
+    return typed_ids(pages.mapInPandas(_pack(tokenizer_path, window, end_id), SCHEMA),
+                     raw_page_id=raw_pages)

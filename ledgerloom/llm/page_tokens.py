@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.encoding import GUARD_CHARS, encoder
-from ledgerloom.llm.frames import keyed_text, staged, union_all
+from ledgerloom.llm.frames import keyed_text, staged, typed_ids, union_all, worded_ids
 
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 9
 _FRAME_CHARS = 1 << 22
 
-_CHUNK = ("raw_page_id bigint, row_no bigint, chunk_no int, is_last boolean, step int, "
+_CHUNK = ("raw_page_id string, row_no bigint, chunk_no int, is_last boolean, step int, "
           "overlap int, chunk_text string")
-_MARKS = ("raw_page_id bigint, row_no bigint, chunk_no int, is_last boolean, step int, "
+_MARKS = ("raw_page_id string, row_no bigint, chunk_no int, is_last boolean, step int, "
           "overlap int, head_at array<int>, head_tokens array<int>, tail_at array<int>, "
           "tail_tokens array<int>, n_tokens bigint")
 
@@ -108,7 +108,7 @@ def count_page_tokens(
 ) -> DataFrame:
     """Tokens of every page text: (raw_page_id, n_bytes, n_tokens), one row per input row.
 
-    ``raw_pages`` has raw_page_id and page_text; other columns are ignored. Texts of at most
+    ``raw_pages`` has raw_page_id (any type) and page_text; other columns are ignored. Texts of at most
     ``chunk_chars`` are encoded at once. A longer one is cut into chunks that overlap by
     ``overlap_chars``; chunks are dealt over all tasks and encoded with offsets. Neighbours are
     spliced at the first place in the overlap where both readings begin a piece: pieces are split
@@ -119,14 +119,14 @@ def count_page_tokens(
     Null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated rows; a null id is
     kept. An empty table gives an empty table.
     """
-    pages = keyed_text(raw_pages, "raw_page_id", "page_text").withColumn(
+    pages = worded_ids(keyed_text(raw_pages, "raw_page_id", "page_text"), "raw_page_id").withColumn(
         "n_bytes", F.octet_length("page_text").cast("bigint"))
     size = F.length("page_text")
-    schema = "raw_page_id bigint, n_bytes bigint, n_tokens bigint"
+    schema = "raw_page_id string, n_bytes bigint, n_tokens bigint"
     short = pages.filter(size <= chunk_chars).mapInPandas(_count_short(tokenizer_path), schema)
     long = pages.filter(size > chunk_chars)
     if long.isEmpty():
-        return short
+        return typed_ids(short, raw_page_id=raw_pages)
     # Row numbers keep repeated rows apart; the stage fixes them.
     long = staged(long.withColumn("row_no", F.monotonically_increasing_id()), "long-texts")
     done, open_texts, step, overlap = [], long, chunk_chars, overlap_chars
@@ -147,4 +147,4 @@ def count_page_tokens(
         overlap *= 2
         step = max(step, overlap)
         open_texts = staged(open_texts.join(left, "row_no", "left_semi"), "open-texts")
-    return union_all([short, *done])
+    return typed_ids(union_all([short, *done]), raw_page_id=raw_pages)

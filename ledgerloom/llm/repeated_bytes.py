@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.frames import keyed_text, staged, text_batches, union_all
+from ledgerloom.llm.frames import keyed_text, staged, text_batches, typed_ids, union_all, worded_ids
 from ledgerloom.llm.suffixes import repeated_windows
 
 WIDTH = 400
@@ -25,12 +25,12 @@ _HALF = _SLACK // 2
 _BLOCK = 1 << 20
 _PLACE_BITS = 22
 
-_PIECES = ("key bigint, digest bigint, raw_page_id bigint, tag bigint, start bigint, "
+_PIECES = ("key bigint, digest bigint, raw_page_id string, tag bigint, start bigint, "
            "n_windows int, gram_at int")
-_SEGMENTS = ("key bigint, digest bigint, raw_page_id bigint, tag bigint, start bigint, "
+_SEGMENTS = ("key bigint, digest bigint, raw_page_id string, tag bigint, start bigint, "
              "n_windows int, gram_at int, low int, high int, lone boolean, segment binary")
-_COVERED = "raw_page_id bigint, tag bigint, begin bigint, stop bigint"
-_RESULT = ("raw_page_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "
+_COVERED = "raw_page_id string, tag bigint, begin bigint, stop bigint"
+_RESULT = ("raw_page_id string, n_bytes bigint, n_removed bigint, n_spans bigint, "
            "kept_sha256 string")
 
 
@@ -264,9 +264,10 @@ def _settle(segments: DataFrame) -> list[DataFrame]:
             .select(*[c.split()[0] for c in _SEGMENTS.split(", ")]).mapInArrow(_halve, _SEGMENTS),
             "halved-pieces")
         # Pieces that have become equal cover each other; one of them stays for the others.
-        equal = halves.groupBy("key", "digest").agg(
+        # Staged, so that the join's two sides are plain exchanges and a hot piece's side can be split.
+        equal = staged(halves.groupBy("key", "digest").agg(
             F.count("*").alias("_n"),
-            F.min(F.struct("raw_page_id", "tag", "start")).alias("_one"))
+            F.min(F.struct("raw_page_id", "tag", "start")).alias("_one")), "equal-pieces")
         joined = halves.join(equal, ["key", "digest"])
         covered.append(_spans(joined.filter((F.col("_n") > 1) & F.col("lone"))))
         own = F.struct("raw_page_id", "tag", "start")
@@ -281,7 +282,7 @@ def _settle(segments: DataFrame) -> list[DataFrame]:
 def remove_repeated_bytes(raw_pages: DataFrame) -> DataFrame:
     """Every page without the bytes under a 400-byte string that also starts anywhere else.
 
-    ``raw_pages`` has raw_page_id and page_text; other columns are ignored. Texts are judged as
+    ``raw_pages`` has raw_page_id (any type) and page_text; other columns are ignored. Texts are judged as
     UTF-8 bytes, on the input; matches never cross pages, overlaps in one page count. Returns
     raw_page_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 (of what is
     left, joined), one row per input row.
@@ -296,8 +297,8 @@ def remove_repeated_bytes(raw_pages: DataFrame) -> DataFrame:
     Null text counts as empty; a text under 400 bytes loses nothing; repeated rows are copies
     of each other and lose all from 400 bytes on; a null id is kept; an empty table gives none.
     """
-    pages = keyed_text(raw_pages, "raw_page_id", "page_text").select(
-        F.col("raw_page_id").cast("bigint").alias("raw_page_id"), "page_text",
+    pages = worded_ids(keyed_text(raw_pages, "raw_page_id", "page_text"), "raw_page_id").select(
+        "raw_page_id", "page_text",
         # Tells rows of one id with different texts apart.
         F.xxhash64("page_text").alias("tag"))
     pieces = staged(pages.mapInArrow(_emit_pieces, _PIECES), "window-pieces")
@@ -330,5 +331,6 @@ def remove_repeated_bytes(raw_pages: DataFrame) -> DataFrame:
     ranges = union_all(covered).groupBy(
         F.col("raw_page_id").alias("_page"), F.col("tag").alias("_tag")).agg(
         F.collect_set(F.struct("begin", "stop")).alias("covered"))
-    return beside(ranges, "left").select("raw_page_id", "page_text", "covered").mapInArrow(
+    kept = beside(ranges, "left").select("raw_page_id", "page_text", "covered").mapInArrow(
         _remove, _RESULT)
+    return typed_ids(kept, raw_page_id=raw_pages)

@@ -173,7 +173,7 @@ def brute_stripped(rows, least):
         ink = [x.strip(" \t\r") for x in lines]
         spread = [bool(x) and len(sites[x]) >= least for x in ink]
         size = [len(x.encode()) for x in ink]
-        strip = any(spread) and 2 * sum(s for s, f in zip(size, spread, strict=True) if f) <= sum(size)
+        strip = any(spread) and sum(s for s, f in zip(size, spread, strict=True) if f) < sum(size)
         kept = "\n".join(x for x, f in zip(lines, spread, strict=True) if not (f and strip))
         out.append((page, sum(map(bool, ink)), sum(spread), sum(spread) if strip else 0, kept))
     return out
