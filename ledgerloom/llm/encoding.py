@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import struct
 import os
 import re
 import unicodedata
@@ -38,24 +39,32 @@ BYTE_PATTERN = re.compile(
     f" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 WORD_PATTERN = re.compile(f"[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_N}]|[^{_S}{_L}{_N}]+")
 
-_REMEMBERED = 350_000
+_REMEMBERED = 300_000
 _LONG = 1 << 18
 # A special token's string, or a split's look at the next character, reaches this far at most.
 GUARD_CHARS = 32
 
 
 class _Remembered(dict):
-    """Piece to the bytes of its ids; a missing piece is asked of the library, memory is bounded."""
+    """Piece to the bytes of its ids; a missing piece is asked of the library, memory is bounded.
+
+    When full, what it holds becomes the older half: pieces still in use come back from there.
+    """
 
     def __init__(self, whole: Tokenizer):
         super().__init__()
         self.whole = whole
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= _REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        ids = self.whole.encode(piece, add_special_tokens=False).ids
-        self[piece] = found = np.array(ids, "<u4").tobytes()
+        found = self.older.get(piece)
+        if found is None:
+            ids = self.whole.encode(piece, add_special_tokens=False).ids
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        self[piece] = found
         return found
 
 

@@ -18,17 +18,17 @@ WINDOW = 2048
 END_ID = 1
 # Costs in tokens of padding: a cut after a sentence, and one inside a sentence.
 SENTENCE_CUT = 4
-INNER_CUT = 32
+INNER_CUT = 12
 # Longest way between two places where a cut may lie; a block's tokens are planned together.
-STRIDE = 64
+STRIDE = 32
 BLOCK_TOKENS = 1 << 18
 
 SCHEMA = ("raw_page_id string, start bigint, length bigint, ids_crc32 bigint, page_tokens bigint, "
           "sequence_id bigint, seq_offset bigint")
 
 
-def cut_places(ids: np.ndarray, page_ends: np.ndarray, closes: np.ndarray, stride: int
-               ) -> tuple[np.ndarray, np.ndarray]:
+def cut_places(ids: np.ndarray, page_ends: np.ndarray, closes: np.ndarray, stride: int,
+               more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(places, cost of a cut there), ascending, place 0 first and the end last."""
     end = len(ids)
     sentences = np.flatnonzero(closes[ids]) + 1
@@ -41,29 +41,59 @@ def cut_places(ids: np.ndarray, page_ends: np.ndarray, closes: np.ndarray, strid
     cost[sentences] = SENTENCE_CUT
     cost[page_ends] = 0
     cost[[0, end]] = 0
-    every = np.unique(np.concatenate([places, inner])).astype(np.int64)
+    every = np.unique(np.concatenate([places, inner, [] if more is None else more])).astype(np.int64)
     return every, cost[every]
 
 
+def padding(length: int, window: int) -> int:
+    """What a sequence of this length is padded by: nothing at a power of two."""
+    return 0 if length & (length - 1) == 0 else window - length
+
+
+def _unpadded(places: np.ndarray, window: int) -> tuple[list[int], list[int]]:
+    """(j, i) for all places that lie a power of two, less than a window, behind another, by j."""
+    later, earlier = [], []
+    for k in range(window.bit_length()):
+        if 1 << k < window:
+            at = np.searchsorted(places, places - (1 << k))
+            hit = np.flatnonzero(places[at] == places - (1 << k))
+            later.append(hit)
+            earlier.append(at[hit])
+    j, i = np.concatenate(later), np.concatenate(earlier)
+    order = np.argsort(j, kind="stable")
+    return j[order].tolist(), i[order].tolist()
+
+
 def plan_cuts(places: np.ndarray, costs: np.ndarray, window: int) -> list[int]:
     """Cuts from 0 to the last place, no two more than a window apart, of least total cost.
 
-    best[j] = window - place[j] + cost[j] + min(best[i] + place[i]) over the i within a window
-    before j. As j moves on, the i leave on one side and enter on the other, so a queue whose
-    values rise from its head gives each minimum in constant time. Ties go to the longer window.
+    best[j] = cost[j] + the least over the i within a window before j of best[i] + padding. But for lengths
+    that are a power of two the padding is window - place[j] + place[i]: as j moves on, the i leave on
+    one side and enter on the other, so a queue whose values of best[i] + place[i] rise from its head
+    gives that minimum in constant time. The few powers of two are looked at one by one. Ties go
+    to the longer sequence.
     """
     at, fee = places.tolist(), costs.tolist()
     value = [0] * len(at)
     came = [0] * len(at)
-    queue = deque([0])
+    later, earlier = _unpadded(places, window)
+    later.append(len(at))
+    queue, pair = deque([0]), 0
     for j in range(1, len(at)):
         place = at[j]
         while at[queue[0]] < place - window:
             queue.popleft()
         i = queue[0]
-        came[j] = i
         # value holds best[j] + place[j]
-        mine = value[j] = window + fee[j] + value[i]
+        mine = window + value[i]
+        while later[pair] == j:
+            other = earlier[pair]
+            pair += 1
+            without = value[other] - at[other] + place
+            if without < mine:
+                i, mine = other, without
+        came[j] = i
+        mine = value[j] = mine + fee[j]
         while queue and value[queue[-1]] > mine:
             queue.pop()
         queue.append(j)
@@ -92,7 +122,9 @@ def _pieces(block: _Block, closes, window, number: Iterator[int], last: bool):
     """Rows of all windows but the unfinished one, and the block of what is left."""
     ids = np.concatenate(block.ids)
     ends = np.cumsum([len(x) for x in block.ids])
-    places, costs = cut_places(ids, ends, closes, STRIDE)
+    # What is left at the end may be cut by powers of two.
+    tail = len(ids) - (1 << np.arange(window.bit_length())) if last else np.zeros(0, np.int64)
+    places, costs = cut_places(ids, ends, closes, STRIDE, tail[tail > 0])
     cuts = plan_cuts(places, costs, window)
     if not last:
         cuts = cuts[:-1]
@@ -146,8 +178,10 @@ def pack_pages(raw_pages: DataFrame, tokenizer_path: str, window: int = WINDOW,
 
     ``raw_pages`` has raw_page_id (any type) and page_text; other columns are ignored. A page is the ids of
     its text without special tokens, then ``end_id``. Each partition is a run of pages; its cut
-    places are page ends, sentence ends, and steps of 64 tokens through longer sentences. Windows
-    are chosen to make padding plus the fees for cut pages least. Every id lies in one piece.
+    places are page ends, sentence ends, and steps of 32 tokens through longer sentences. Sequences
+    are chosen to make padding (to the window, none at a power of two) plus the fees for cut pages
+    least; a partition's last one is dealt into powers of two where that is cheaper. Every id lies in one
+    piece.
 
     Result: raw_page_id, start (ids of the page before the piece), length, ids_crc32 (of the
     little-endian unsigned 32-bit ids), page_tokens, sequence_id, seq_offset.

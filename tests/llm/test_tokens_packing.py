@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from ledgerloom.llm import encoding, page_tokens
 from ledgerloom.llm.encoding import PieceEncoder
-from ledgerloom.llm.packing import pack_pages, plan_cuts
+from ledgerloom.llm.packing import pack_pages, padding, plan_cuts
 from ledgerloom.llm.page_tokens import count_page_tokens
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -80,6 +80,8 @@ def test_packing_keeps_every_id(spark):
             at += piece.length
         assert at == len(ids)
     assert len(by_page[4]) == 2
+    padded = sum(padding(sum(p.length for p in found), 2048) for found in by_sequence.values())
+    assert padded <= 0.01 * sum(p.length for p in pieces)
     for found in by_sequence.values():
         at = 0
         for piece in sorted(found, key=lambda p: p.seq_offset):
@@ -97,9 +99,9 @@ def test_cuts_are_of_least_cost():
         costs[[0, -1]] = 0
         window, best = 20, {0: 0}
         for j in range(1, len(places)):
-            best[j] = min(best[i] + window - int(places[j] - places[i]) for i in range(j)
+            best[j] = min(best[i] + padding(int(places[j] - places[i]), window) for i in range(j)
                           if places[j] - places[i] <= window) + int(costs[j])
         cuts = plan_cuts(places, costs, window)
-        paid = sum(window - (b - a) for a, b in zip([0, *cuts], cuts, strict=False))
+        paid = sum(padding(int(b - a), window) for a, b in zip([0, *cuts], cuts, strict=False))
         paid += sum(int(costs[np.flatnonzero(places == c)[0]]) for c in cuts)
         assert paid == best[len(places) - 1]
