@@ -41,6 +41,8 @@ WORD_PATTERN = re.compile(f"[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_N}]|[^{_S}{_L}{_N
 
 _REMEMBERED = 300_000
 _LONG = 1 << 18
+# Fixed value: how byte-level vocabularies write a blank.
+_BLANK_SIGN = "\u0120"
 # A special token's string, or a split's look at the next character, reaches this far at most.
 GUARD_CHARS = 32
 
@@ -51,9 +53,10 @@ class _Remembered(dict):
     When full, what it holds becomes the older half: pieces still in use come back from there.
     """
 
-    def __init__(self, whole: Tokenizer):
+    def __init__(self, whole: Tokenizer, byte_pieces: bool):
         super().__init__()
-        self.whole = whole
+        self.whole, self.model = whole, whole.model
+        self.byte_pieces = byte_pieces
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -62,7 +65,11 @@ class _Remembered(dict):
             self.clear()
         found = self.older.get(piece)
         if found is None:
-            ids = self.whole.encode(piece, add_special_tokens=False).ids
+            if self.byte_pieces and piece.isascii() and piece.isprintable():
+                # What comes before the merges leaves such a piece alone, but for the sign of a blank.
+                ids = [t.id for t in self.model.tokenize(piece.replace(" ", _BLANK_SIGN))]
+            else:
+                ids = self.whole.encode(piece, add_special_tokens=False).ids
             found = struct.pack(f"<{len(ids)}I", *ids)
         self[piece] = found
         return found
@@ -85,7 +92,7 @@ class PieceEncoder:
         self.split = (WORD_PATTERN if self.words else BYTE_PATTERN).findall
         self.known = "Split" in kinds if self.words else "'use_regex': True" in kinds
         self.marks = [t["content"][:2] for t in state["added_tokens"]]
-        self.ids = _Remembered(self.whole)
+        self.ids = _Remembered(self.whole, self.known and "ByteLevel" in kinds)
 
     def plain(self, text: str) -> bool:
         return (self.known and not any(m in text for m in self.marks)

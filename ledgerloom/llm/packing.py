@@ -20,15 +20,15 @@ END_ID = 1
 SENTENCE_CUT = 4
 INNER_CUT = 12
 # Longest way between two places where a cut may lie; a block's tokens are planned together.
-STRIDE = 32
+STRIDE = 64
 BLOCK_TOKENS = 1 << 18
 
 SCHEMA = ("raw_page_id string, start bigint, length bigint, ids_crc32 bigint, page_tokens bigint, "
           "sequence_id bigint, seq_offset bigint")
 
 
-def cut_places(ids: np.ndarray, page_ends: np.ndarray, closes: np.ndarray, stride: int,
-               more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def cut_places(ids: np.ndarray, page_ends: np.ndarray, closes: np.ndarray, stride: int
+               ) -> tuple[np.ndarray, np.ndarray]:
     """(places, cost of a cut there), ascending, place 0 first and the end last."""
     end = len(ids)
     sentences = np.flatnonzero(closes[ids]) + 1
@@ -41,7 +41,7 @@ def cut_places(ids: np.ndarray, page_ends: np.ndarray, closes: np.ndarray, strid
     cost[sentences] = SENTENCE_CUT
     cost[page_ends] = 0
     cost[[0, end]] = 0
-    every = np.unique(np.concatenate([places, inner, [] if more is None else more])).astype(np.int64)
+    every = np.unique(np.concatenate([places, inner])).astype(np.int64)
     return every, cost[every]
 
 
@@ -104,6 +104,15 @@ def plan_cuts(places: np.ndarray, costs: np.ndarray, window: int) -> list[int]:
     return cuts[::-1]
 
 
+def _by_powers(cuts: list[int], window: int) -> list[int]:
+    """The ends of the last sequence, or of its parts of powers of two where cutting costs less than padding."""
+    begin, end = [0, *cuts][-2:]
+    sizes = [1 << k for k in range(window.bit_length()) if (end - begin) >> k & 1][::-1]
+    if INNER_CUT * (len(sizes) - 1) >= padding(end - begin, window):
+        return [end]
+    return (begin + np.cumsum(sizes)).tolist()
+
+
 class _Block:
     """Tokens of whole pages in order, waiting to be cut; the first page may have begun earlier."""
 
@@ -122,12 +131,9 @@ def _pieces(block: _Block, closes, window, number: Iterator[int], last: bool):
     """Rows of all windows but the unfinished one, and the block of what is left."""
     ids = np.concatenate(block.ids)
     ends = np.cumsum([len(x) for x in block.ids])
-    # What is left at the end may be cut by powers of two.
-    tail = len(ids) - (1 << np.arange(window.bit_length())) if last else np.zeros(0, np.int64)
-    places, costs = cut_places(ids, ends, closes, STRIDE, tail[tail > 0])
+    places, costs = cut_places(ids, ends, closes, STRIDE)
     cuts = plan_cuts(places, costs, window)
-    if not last:
-        cuts = cuts[:-1]
+    cuts = cuts[:-1] + (_by_powers(cuts, window) if last else [])
     rows, begin, k = [], 0, 0
     page_begin = np.concatenate([[0], ends[:-1]])
     for cut in cuts:
@@ -178,7 +184,7 @@ def pack_pages(raw_pages: DataFrame, tokenizer_path: str, window: int = WINDOW,
 
     ``raw_pages`` has raw_page_id (any type) and page_text; other columns are ignored. A page is the ids of
     its text without special tokens, then ``end_id``. Each partition is a run of pages; its cut
-    places are page ends, sentence ends, and steps of 32 tokens through longer sentences. Sequences
+    places are page ends, sentence ends, and steps of 64 tokens through longer sentences. Sequences
     are chosen to make padding (to the window, none at a power of two) plus the fees for cut pages
     least; a partition's last one is dealt into powers of two where that is cheaper. Every id lies in one
     piece.
