@@ -39,6 +39,28 @@ def scan_payloads(spark, sf_dir):
     return PL.payload_facts(document_files(spark, sf_dir))
 
 
+def _write_files(folder: str):
+    """Writes each row's bytes under the folder; a retried task writes the same files again."""
+    def run(batches):
+        system, root = PL.file_system(folder)
+        for batch in batches:
+            for path, content in zip(*(batch.column(k).to_pylist() for k in ("path", "content")), strict=True):
+                place = root + path
+                system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(place) as out:
+                    out.write(content)
+            yield batch.select(["path"])
+    return run
+
+
+def scan_payload_files(spark, sf_dir):
+    """Documents written as files, the empty ones too, and read back by a scan of their folder."""
+    folder = _fresh_folder(spark, "uploads")
+    files = document_files(spark, sf_dir)
+    files.mapInArrow(_write_files(folder), "path string").write.format("noop").mode("overwrite").save()
+    return PL.scan_payloads(spark, folder)
+
+
 FILES = """
 WITH f AS (SELECT doc_id, source, CASE doc_id % 11 WHEN 3 THEN '.txt' WHEN 4 THEN '.PDF'
     ELSE '.pdf' END AS ext, CASE WHEN doc_id % 13 = 5 THEN '' WHEN doc_id % 13 = 6 THEN text
@@ -296,6 +318,7 @@ INGESTED = on_ledger(
 
 QUERIES: dict[str, tuple] = {
     "scan_payloads": (scan_payloads, FILES),
+    "scan_payload_files": (scan_payload_files, FILES),
     "dedupe_payloads": (
         dedupe_payloads,
         ATTEMPTS + "SELECT sha256('payload|' || content_sha256) AS raw_payload_id, content_sha256, "

@@ -15,11 +15,20 @@ def test_scan_payloads(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
     got = {r.original_basename: (r.byte_length, r.refused)
            for r in PL.scan_payloads(spark, str(tmp_path)).collect()}
-    # The file source itself passes over files without bytes, so b.pdf never becomes a payload.
-    assert got == {"a.pdf": (10, None), "c.txt": (4, "not_a_pdf_name"),
+    assert got == {"a.pdf": (10, None), "b.pdf": (0, "empty_file"), "c.txt": (4, "not_a_pdf_name"),
                    "d.PDF": (5, "not_pdf_bytes")}
 
 
+def test_scan_payloads_in_folders_and_slices(spark, tmp_path):
+    assert PL.scan_payloads(spark, str(tmp_path)).collect() == []
+    for k in range(30):
+        (tmp_path / f"in {k % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"in {k % 3}" / f"{k}.pdf").write_bytes(b"%PDF" + bytes([65 + k]) * k)
+    found = PL.scan_payloads(spark, f"file://{tmp_path}", 5 * PL.OPEN_BYTES)
+    assert found.rdd.getNumPartitions() == 8
+    assert sorted(r.byte_length for r in found.collect()) == list(range(4, 34))
+
+
 def test_empty_content_is_refused(spark):
     files = spark.createDataFrame([("/in/b.pdf", b"")], "path string, content binary")
     assert PL.payload_facts(files).first().refused == "empty_file"
