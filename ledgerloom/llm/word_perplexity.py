@@ -227,8 +227,9 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     others = np.bincount(page[hit], value * (seen > n[hit]), size)
                 base = np.frombuffer(row["base"]).reshape(2, -1) if row["base"] else np.zeros((2, size))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[0]), pa.array(rows[1]), pa.array(whole), pa.array(others), pa.array(base[1]),
-                     pa.array(base[0].astype(np.int64))],
+                    # Counting nothing gives whole numbers, where sums are wanted.
+                    [pa.array(rows[0]), pa.array(rows[1]), pa.array(whole.astype(float)),
+                     pa.array(others.astype(float)), pa.array(base[1]), pa.array(base[0].astype(np.int64))],
                     names=["_row1", "_row2", "whole", "others", "charge", "n_words"])
 
 
@@ -256,7 +257,8 @@ def page_word_perplexity(raw_pages: DataFrame, trusted: DataFrame, quantile: flo
     pairs are known by 48 bits of a hash: an unseen one passes for a seen one once in 2^48 / model rows.
     """
     pages = keyed_text(raw_pages, "raw_page_id", "lang", "page_text").withColumn(
-        "lang", F.coalesce("lang", F.lit("")))
+        # Within, no language is an empty text and all others bear a sign.
+        "lang", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")))
     known = trusted.select("raw_page_id").distinct().withColumn("_trusted", F.lit(True))
     inked = pages.filter("page_text <> ''")
     # Both sides are shuffled at every size: trusted ids may be as many as the pages.
@@ -300,5 +302,5 @@ def page_word_perplexity(raw_pages: DataFrame, trusted: DataFrame, quantile: flo
     whole = float("inf") if common is None or common.p is None else common.p
     threshold = F.coalesce("_own", F.lit(whole))
     return scored.join(by_lang, "lang", "left").select(
-        "raw_page_id", "lang", "perplexity", threshold.alias("threshold"),
-        F.coalesce(F.col("perplexity") <= threshold, F.lit(False)).alias("keep"))
+        "raw_page_id", F.when(F.col("lang") != "", F.substring("lang", 2, 1 << 30)).alias("lang"),
+        "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(False)).alias("keep"))

@@ -83,3 +83,11 @@ def test_word_perplexity_without_trusted_or_pages(spark):
     got = {r.raw_page_id: r.keep for r in page_word_perplexity(frame, none.select("raw_page_id")).collect()}
     assert got == {1: True, 2: False}
     assert page_word_perplexity(none, frame.select("raw_page_id")).collect() == []
+
+
+def test_no_language_is_not_the_empty_one(spark):
+    rows = [(1, None, "fee wire " * 9), (2, "", "deposit card " * 9), (3, "en", "check refund " * 9)]
+    frame = spark.createDataFrame(rows, "raw_page_id bigint, lang string, page_text string")
+    got = page_word_perplexity(frame, frame.select("raw_page_id")).collect()
+    assert {r.raw_page_id: r.lang for r in got} == {1: None, 2: "", 3: "en"}
+    assert len({r.threshold for r in got}) == 3 or all(r.threshold == r.perplexity for r in got)
