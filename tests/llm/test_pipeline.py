@@ -92,7 +92,7 @@ def test_run_and_registration(spark, planted):
     sizes = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     assert all(0 < r.n <= 2048 for r in sizes)
     assert "pipeline" in entry.queries() and "pipeline" not in entry.oracle_sql()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in QUERIES.items() if sql])
