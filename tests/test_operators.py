@@ -38,10 +38,10 @@ def brute_admission(requests, available):
     return taken
 
 
-def admitted(spark, requests, available):
+def admitted(spark, requests, available, slice_size=B._SLICE):
     r = spark.createDataFrame(requests, "budget_id string, seq bigint, amount_cents bigint")
     a = spark.createDataFrame(list(available.items()), "budget_id string, available_cents bigint")
-    return {(x.budget_id, x.seq) for x in B._admit(r, a).collect()}
+    return {(x.budget_id, x.seq) for x in B._admit(r, a, slice_size).collect()}
 
 
 def test_admission_agrees_with_brute_force(spark):
@@ -52,6 +52,16 @@ def test_admission_agrees_with_brute_force(spark):
     assert admitted(spark, requests, available) == brute_admission(requests, available)
 
 
+def test_admission_over_many_slices(spark):
+    # Stops in many slices, larger requests that fit late, and amounts far below the rest.
+    random.seed(3)
+    available = {"wide": 50_000, "tight": 700, "one": 1, "hard": 2**40}
+    requests = [(b, i, random.choice([1, 2, 90, 513, 4_000, int(10 ** random.uniform(0, 5))]))
+                for b in available for i in range(90)]
+    for slice_size in (1, 4, 16):
+        assert admitted(spark, requests, available, slice_size) == brute_admission(requests, available)
+
+
 def test_admission_of_sums_beyond_a_bigint(spark):
     available = {"x": 2**62 + 5, "y": 2**63 - 1}
     requests = [(b, i, 2**61 - i % 3) for b in available for i in range(12)]
