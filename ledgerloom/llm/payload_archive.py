@@ -17,7 +17,7 @@ from ledgerloom.llm.frames import local_path, staged
 MIN_REVISIT_BYTES = 100
 ROLL_BYTES = 1 << 27
 SPLIT_BYTES = 1 << 23
-HEADER_BYTES = 1 << 16
+HEAD_STEP = 1 << 16
 
 # The archive format's words.
 VERSION = b"WARC/1."
@@ -48,7 +48,8 @@ def with_record_types(raw_payloads: DataFrame, min_revisit_bytes: int) -> DataFr
         .agg(F.min("raw_payload_id").alias("response_id"), F.count("*").alias("_n"))
         .filter("_n > 1").drop("_n")
     )
-    joined = facts.join(first, "content_sha256", "left")
+    # Staged, so that the join's two sides are plain exchanges and a hot digest's side can be split.
+    joined = facts.join(staged(first, "first-payloads"), "content_sha256", "left")
     own = F.col("raw_payload_id")
     return joined.withColumns({
         "refers_to": F.when(~own.eqNullSafe(F.col("response_id")), F.col("response_id").cast("string")),
@@ -161,13 +162,28 @@ def _headers(block: bytes) -> dict[str, str] | None:
 
 
 def _starts_record(window: _Window, place: int) -> bool:
+    """Whether a member here decodes to a record's head, read on to the blank line that ends it."""
     if window.bytes_at(place, 3) != MAGIC:
         return False
-    try:
-        block = zlib.decompressobj(31).decompress(window.bytes_at(place, HEADER_BYTES), HEADER_BYTES)
-    except zlib.error:
-        return False
-    return _headers(block) is not None
+    inflate, head, at = zlib.decompressobj(31), bytearray(), place
+    while not inflate.eof:
+        data = inflate.unconsumed_tail
+        if not data:
+            data = window.bytes_at(at, HEAD_STEP)
+            at += len(data)
+        try:
+            part = inflate.decompress(data, HEAD_STEP)
+        except zlib.error:
+            return False
+        if not data and not part:
+            return False
+        seen = max(0, len(head) - len(2 * _BREAK))
+        head += part
+        if not head.startswith(VERSION[:len(head)]):
+            return False
+        if head.find(2 * _BREAK, seen) >= 0:
+            return _headers(bytes(head)) is not None
+    return False
 
 
 def _member(window: _Window, place: int) -> tuple[bytes, int] | None:
