@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,9 +23,13 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SCHEMA = "raw_page_id string, fixture_id string, edits int"
 
 
+def plain_text(text: str) -> str:
+    """Lower case, each run of white space as one blank."""
+    return " ".join(text.lower().split())
+
+
 def plain_bytes(text: str) -> bytes:
-    """Lower case, each run of white space as one blank, UTF-8."""
-    return " ".join(text.lower().split()).encode()
+    return plain_text(text).encode()
 
 
 def edit_budget(length: int, q: int = Q, error_rate: float = ERROR_RATE) -> int:
@@ -113,6 +118,39 @@ def banded_edits(text: bytes, data: bytes, low: int, width: int) -> int:
     return int(min(best.min(initial=far), far))
 
 
+class ShortFixtures:
+    """Fixtures too short for edits, found whole and between characters that are no letter or digit."""
+
+    def __init__(self, ids: list[str], texts: list[str]):
+        by_text: dict[str, list[str]] = {}
+        for fixture, text in zip(ids, texts):
+            by_text.setdefault(text, []).append(fixture)
+        self.words = ahocorasick.Automaton()
+        for text, named in by_text.items():
+            self.words.add_word(text, (len(text), named))
+        self.words.make_automaton()
+
+    def held_by(self, text: str) -> set[str]:
+        found: set[str] = set()
+        for last, (length, named) in self.words.iter(text):
+            begin = last - length
+            if (begin < 0 or not text[begin].isalnum()) and not text[last + 1:last + 2].isalnum():
+                found.update(named)
+        return found
+
+
+def _search_short(ids: list[str], texts: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        short = ShortFixtures(ids, texts)
+        for rows in batches:
+            page_ids = rows["raw_page_id"].tolist()
+            yield pd.DataFrame(
+                [(page_ids[n], fixture, 0) for n, text in enumerate(rows["page_text"])
+                 for fixture in sorted(short.held_by(plain_text(text)))],
+                columns=["raw_page_id", "fixture_id", "edits"])
+    return run
+
+
 def _blocks(data: bytes, overlap: int) -> Iterator[bytes]:
     at = 0
     while True:
@@ -178,8 +216,9 @@ def find_fixture_leaks(raw_pages: DataFrame, fixtures: DataFrame, slice_bytes: i
     are aligned. edits is the least found.
 
     Fixtures go to the tasks in slices of about ``slice_bytes``, each slice a pass over the pages,
-    so nothing sent grows with the table. Fixtures under 40 bytes would match by chance and
-    are not searched; null and empty texts hold and are held by nothing. Rows that repeat a
+    so nothing sent grows with the table. Fixtures under 40 bytes would be met by chance within edits;
+    they are found whole, where no letter or digit touches either end. Null, empty and blank texts
+    hold and are held by nothing. Rows that repeat a
     fixture id, or a page id with equal text, give equal rows; distinct rows are returned.
     """
     items = fixtures.select("fixture_id", F.coalesce("raw_text", F.lit("")).alias("raw_text")).distinct()
@@ -191,11 +230,13 @@ def find_fixture_leaks(raw_pages: DataFrame, fixtures: DataFrame, slice_bytes: i
     for number in range(n_slices):
         # At most about slice_bytes: the hash deals the fixtures evenly over the slices.
         some = items.filter(F.pmod(F.xxhash64("fixture_id", "raw_text"), F.lit(n_slices)) == number)
-        pairs = [(r.fixture_id, plain_bytes(r.raw_text)) for r in some.collect()]
-        pairs = [(i, t) for i, t in pairs if len(t) >= MIN_FIXTURE_BYTES]
-        if pairs:
-            passes.append(pages.mapInPandas(
-                _search([i for i, _ in pairs], [t for _, t in pairs]), _SCHEMA))
+        pairs = [(r.fixture_id, plain_text(r.raw_text)) for r in some.collect()]
+        long = [(i, t.encode()) for i, t in pairs if len(t.encode()) >= MIN_FIXTURE_BYTES]
+        short = [(i, t) for i, t in pairs if 0 < len(t.encode()) < MIN_FIXTURE_BYTES]
+        for search, dealt in ((_search, long), (_search_short, short)):
+            if dealt:
+                ids, texts = zip(*dealt)
+                passes.append(pages.mapInPandas(search(list(ids), list(texts)), _SCHEMA))
     if not passes:
         found = pages.select("raw_page_id", F.lit(None).cast("string").alias("fixture_id"),
                              F.lit(None).cast("int").alias("edits")).filter(F.lit(False))
