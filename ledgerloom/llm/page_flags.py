@@ -186,7 +186,8 @@ def fit_page_flags(raw_pages: DataFrame, labels: DataFrame, max_pages: int = MAX
         return nothing
     features = np.array([r.feature for r in kept], np.int64)
     ratios = np.array([r.ratio for r in kept], np.float64)
-    hits = sample.mapInPandas(_hits(features), _HITS)
+    # Staged, so that n-grams are taken by many tasks and only the kept ones' places meet in one.
+    hits = staged(sample.mapInPandas(_hits(features), _HITS), "hits")
     weights = hits.coalesce(1).mapInPandas(_fit(features, ratios), _WEIGHTS).collect()
     table = {r.feature: r.weight for r in weights}
     return PageFlags(features, np.array([table[int(f)] for f in features]), table[-1])
