@@ -227,7 +227,7 @@ def test_leaks_equal_full_alignment(spark):
         around = " ".join(words(draw, draw.choice([0, 5, 30])))
         pages.append((k, f"{around} {''.join(text).upper()}\n\n {around}"))
     pages += [(90, None), (91, ""), (92, fixtures[0][1] + " " + fixtures[1][1]), pages[0]]
-    fixtures += [(70, None), (71, "too short"), (72, fixtures[0][1]), fixtures[1]]
+    fixtures += [(70, None), (71, "too short"), (72, fixtures[0][1]), fixtures[1], (73, " \n")]
     want = set()
     for page, text in pages:
         for fixture, item in fixtures:
@@ -244,6 +244,20 @@ def test_leaks_equal_full_alignment(spark):
     assert find_fixture_leaks(frame(spark, pages), texts.limit(0)).collect() == []
 
 
+def test_short_fixtures_are_found_whole_between_words(spark):
+    fixtures = [(1, "What is 2+2?"), (2, "Net  ASSET value"), (3, "é"), (4, "net asset value"),
+                (5, "asset"), (6, "x" * 39), (7, ""), (8, None)]
+    pages = [(1, "Quiz: what is\n2+2? Four."), (2, "The net asset\tvalue, told twice: net asset value"),
+             (3, "net asset values and assets"), (4, "caf\u00e9 \u00e9t\u00e9"), (5, "(\u00c9)"), (6, "x" * 40),
+             (7, "-" + "X" * 39), (8, None), (9, "y " * 200_000 + "asset"), (10, "planet asset value")]
+    want = {(1, 1, 0), (2, 2, 0), (2, 4, 0), (2, 5, 0), (3, 5, 0), (5, 3, 0), (7, 6, 0), (9, 5, 0),
+            (10, 5, 0)}
+    texts = spark.createDataFrame(fixtures, "fixture_id bigint, raw_text string")
+    for size in (1 << 20, 10):
+        got = find_fixture_leaks(frame(spark, pages), texts, slice_bytes=size).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_leaks_in_pages_longer_than_a_block(spark, monkeypatch):
     draw = random.Random(8)
     item = " ".join(words(draw, 12))
@@ -293,6 +307,17 @@ def test_archive_round_trip(spark, tmp_path, split):
     assert read_payload_archive(listed, with_content=False).count() == len(small)
 
 
+def test_archive_of_long_names(spark, tmp_path):
+    draw = random.Random(10)
+    names = ["".join(chr(draw.randrange(33, 0x2000)) for _ in range(80_000)), "a" * 3_000_000, "short"]
+    rows = [(k, name, b"body %d" % k, "x", "y") for k, name in enumerate(names)]
+    files = write_payload_archive(spark.createDataFrame(rows, PAYLOADS).coalesce(1), str(tmp_path / "l"))
+    for split in (1 << 23, 10_000):
+        got = read_payload_archive(files, split_bytes=split).collect()
+        assert sorted((int(r.raw_payload_id), r.original_basename, bytes(r.content)) for r in got) == [
+            r[:3] for r in rows]
+
+
 def test_archive_of_nothing(spark, tmp_path):
     none = spark.createDataFrame([], PAYLOADS)
     assert read_payload_archive(write_payload_archive(none, str(tmp_path / "b"))).collect() == []
