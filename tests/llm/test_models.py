@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import perplexity, vector_tree
+from ledgerloom.llm import page_flags, perplexity, vector_tree
 from ledgerloom.llm.page_flags import fit_page_flags
 from ledgerloom.llm.perplexity import gram_numbers, page_perplexity
 from ledgerloom.llm.vector_tree import nearest_vectors
@@ -165,3 +165,40 @@ def test_perplexity_without_trusted_or_pages(spark):
     got = {r.raw_page_id: r.keep for r in page_perplexity(frame, none.select("raw_page_id")).collect()}
     assert got == {1: True, 2: False}
     assert page_perplexity(none, frame.select("raw_page_id")).collect() == []
+
+
+def plain_features(text):
+    """Feature numbers of a text one n-gram after another, in whole numbers modulo 2^64."""
+    text, mix, full = f" {' '.join(text.lower().split())} ", 0x9E3779B97F4A7C15, (1 << 64) - 1
+    found = set()
+    for length in page_flags.LENGTHS:
+        for at in range(len(text) - length + 1):
+            code = length
+            for letter in text[at:at + length]:
+                code = (code + ord(letter)) * mix & full
+            found.add(((code ^ (code >> 29)) * mix & full) >> (64 - page_flags.HASH_BITS))
+    return found
+
+
+def test_flags_equal_a_plain_dictionary_model(spark):
+    rows = flagged_rows(150, 4) + [(900, None, 1, ""), (901, "", 0, ""), (902, "Ärger \U0001f600 ÄRGER", 1, "")]
+    frame = spark.createDataFrame(rows, "raw_page_id bigint, page_text string, flagged int, x string")
+    labels = frame.select("raw_page_id", "flagged")
+    # A row that is told twice counts twice.
+    model = fit_page_flags(frame, labels.unionByName(labels.filter("raw_page_id < 10")))
+    told = rows + [r for r in rows if r[0] < 10]
+    seen = {0: Counter(), 1: Counter()}
+    for _, text, flag, _ in told:
+        seen[flag].update(plain_features(text or ""))
+    n = Counter(r[2] for r in told)
+    strength = {}
+    for feature in seen[0] | seen[1]:
+        f, c = seen[1][feature] + 1, seen[0][feature] + 1
+        z = abs(math.log(f / (n[1] + 2) / (c / (n[0] + 2)))) / math.sqrt(1 / f + 1 / c)
+        if f + c - 2 >= page_flags.MIN_PAGES and z >= page_flags.MIN_Z:
+            strength[feature] = z
+    assert strength and set(model.features.tolist()) == set(strength)
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    for r in model.score(frame).collect():
+        total = model.bias + sum(weight.get(f, 0) for f in plain_features(r.page_text or ""))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-9)
