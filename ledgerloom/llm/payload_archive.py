@@ -18,6 +18,8 @@ MIN_REVISIT_BYTES = 100
 ROLL_BYTES = 1 << 27
 SPLIT_BYTES = 1 << 23
 HEAD_STEP = 1 << 16
+# Tasks of one read; a task takes several ranges beyond it.
+MAX_TASKS = 50_000
 
 # The archive format's words.
 VERSION = b"WARC/1."
@@ -291,6 +293,10 @@ def read_payload_archive(files: DataFrame, split_bytes: int = SPLIT_BYTES,
     """
     start = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_bytes") - 1,
                                  F.lit(split_bytes).cast("bigint")))
-    ranges = files.filter("n_bytes > 0").select("path", "n_bytes", start.alias("range_start"))
+    some = files.filter("n_bytes > 0")
+    n_ranges = some.agg(F.sum(F.ceil(F.col("n_bytes") / split_bytes))).first()[0] or 1
+    ranges = some.select("path", "n_bytes", start.alias("range_start"))
     ranges = ranges.withColumn("range_end", F.col("range_start") + split_bytes)
-    return ranges.repartition("path", "range_start").mapInPandas(_read(with_content), _RECORDS)
+    # With a number of its own, as the few bytes of these rows would be merged into one task.
+    dealt = ranges.repartition(min(int(n_ranges), MAX_TASKS), "path", "range_start")
+    return dealt.mapInPandas(_read(with_content), _RECORDS)
