@@ -36,9 +36,14 @@ def run_status(runs: DataFrame, failures: DataFrame) -> DataFrame:
     }).drop("_code", "_message")
 
 
-def all_violations(parsed: ParsedLedger) -> DataFrame:
-    """Parse findings plus balance findings, keyed by document and ordered by stage."""
-    checks = V.reconcile(parsed.ledger).unionByName(
+def all_violations(parsed: ParsedLedger, earliest: bool = False) -> DataFrame:
+    """Parse findings plus balance findings, keyed by document and ordered by stage.
+
+    ``earliest`` keeps of each statement's balance findings the first only, which reads the lines
+    once; the first failure of a document is the same.
+    """
+    balances = V.first_findings if earliest else V.reconcile
+    checks = balances(parsed.ledger).unionByName(
         V.check_holdings_total(parsed.ledger, parsed.printed_holdings)
     )
     keyed = checks.join(parsed.parts.select("statement_id", "doc_id", "part"), "statement_id")
@@ -88,7 +93,7 @@ def parse_and_check(pages: DataFrame, strict: bool = False) -> tuple[Ledger, Dat
     in the run table.
     """
     parsed = parse_statements(pages)
-    failures = first_failure(all_violations(parsed))
+    failures = first_failure(all_violations(parsed, earliest=True))
     runs = run_status(document_runs(parsed), failures)
     if strict:
         failed = runs.filter(F.col("status") == "failed").select("run_id", "error_code").take(1)

@@ -10,18 +10,21 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.running import running_totals
 from ledgerloom.rules import (
     BROKERAGE,
     CARD,
+    CATEGORIES,
     DEPOSITORY,
     domain_of_type,
     required_sign,
     sign_violation,
 )
-from ledgerloom.schemas import INVARIANT, PERSISTENCE, VALUE, Ledger
+from ledgerloom.schemas import INVARIANT, PERSISTENCE, TOKEN, VALUE, Ledger
+from ledgerloom.sources.stage import staged
 
 # Lines of one statement are windowed in slices of this many lines.
 LINES_PER_CHUNK = 1 << 16
@@ -29,6 +32,11 @@ LINES_PER_CHUNK = 1 << 16
 # Order of the checks.
 NET, IDENTITY, RUNNING, LINES, DOMAIN, HOLDINGS_TOTAL = 60, 61, 62, 63, 70, 83
 
+_UNPRINTED = "line without running balance"
+_RUNNING_OFF = "running balance is off"
+_OUTSIDE = "post date outside the period"
+_SIGN = "sign contradicts category"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -63,9 +71,8 @@ def _sum_of(*categories: str, sign: int = 1) -> Column:
     return (F.coalesce(F.sum(value), F.lit(0)) * sign).cast("bigint")
 
 
-def line_sums(transactions: DataFrame) -> DataFrame:
-    """All category sums of a statement in one aggregation, shared by every bucket rule."""
-    return transactions.groupBy("statement_id").agg(
+def _category_sums() -> list[Column]:
+    return [
         F.sum("amount_cents").cast("bigint").alias("s_all"),
         _sum_of("deposit", "interest_paid", "other_credit").alias("s_credits"),
         _sum_of("withdrawal", "other_debit", sign=-1).alias("s_withdrawals"),
@@ -75,7 +82,16 @@ def line_sums(transactions: DataFrame) -> DataFrame:
         _sum_of("cash_advance").alias("s_advances"),
         _sum_of("balance_transfer").alias("s_transfers"),
         _sum_of("interest_charged").alias("s_interest"),
-    )
+    ]
+
+
+_SUMS = ("s_all", "s_credits", "s_withdrawals", "s_fees", "s_purchases", "s_payments",
+         "s_advances", "s_transfers", "s_interest")
+
+
+def line_sums(transactions: DataFrame) -> DataFrame:
+    """All category sums of a statement in one aggregation, shared by every bucket rule."""
+    return transactions.groupBy("statement_id").agg(*_category_sums())
 
 
 def _summed(ledger: Ledger) -> DataFrame:
@@ -258,8 +274,7 @@ def check_running_balance(ledger: Ledger) -> DataFrame:
         F.lit(RUNNING).alias("stage"),
         seq.cast("bigint").alias("seq"),
         F.lit(INVARIANT).alias("code"),
-        F.when(F.col("missing") == seq, "line without running balance")
-        .otherwise("running balance is off").alias("message"),
+        F.when(F.col("missing") == seq, _UNPRINTED).otherwise(_RUNNING_OFF).alias("message"),
     )
 
 
@@ -279,14 +294,12 @@ def _line_findings(lines: DataFrame, allow_out_of_cycle: bool, dates: bool,
         outside = ~F.col("post_date").between(
             F.col("statement_start_date"), F.col("statement_end_date")
         )
-        found.append(F.when(outside, entry("post_date", seq, F.lit(INVARIANT),
-                                           "post date outside the period")))
+        found.append(F.when(outside, entry("post_date", seq, F.lit(INVARIANT), _OUTSIDE)))
     if signs:
         code = sign_violation(
             F.col("account_domain"), F.col("transaction_category"), F.col("amount_cents")
         )
-        found.append(F.when(code.isNotNull(), entry("category_sign", seq + 1, code,
-                                                    "sign contradicts category")))
+        found.append(F.when(code.isNotNull(), entry("category_sign", seq + 1, code, _SIGN)))
     if not found:
         found = [F.lit(None).cast("struct<rule:string,stage:int,seq:bigint,code:string,"
                                   "message:string>")]
@@ -359,6 +372,13 @@ def check_combined_total(ledger: Ledger, printed: DataFrame) -> DataFrame:
     )
 
 
+def _statement_rules() -> list[Rule]:
+    return [
+        *_net_rules(), *_identity_rules(), *_depository_equation(), *_depository_buckets(),
+        *_card_equation(), *_card_buckets(), *_brokerage_cash(), *_portfolio_bridge(),
+    ]
+
+
 def reconcile(ledger: Ledger, allow_out_of_cycle: bool = False) -> DataFrame:
     """Every balance check at once; one aggregation of the lines feeds all bucket rules.
 
@@ -370,16 +390,115 @@ def reconcile(ledger: Ledger, allow_out_of_cycle: bool = False) -> DataFrame:
         .join(ledger.credit_summaries, "statement_id", "left")
         .join(ledger.brokerage_summaries, "statement_id", "left")
     )
-    per_statement = _findings(sidecars, [
-        *_net_rules(), *_identity_rules(), *_depository_equation(), *_depository_buckets(),
-        *_card_equation(), *_card_buckets(), *_brokerage_cash(), *_portfolio_bridge(),
-    ])
+    per_statement = _findings(sidecars, _statement_rules())
     per_line = _line_findings(_dated_lines(ledger), allow_out_of_cycle, dates=True, signs=True)
     return per_statement.unionByName(check_running_balance(ledger)).unionByName(per_line)
 
 
+def _line_states(ledger: Ledger) -> DataFrame:
+    """One row per statement with lines: its sums and the first line each line rule finds.
+
+    The lines are read once. Every slice of a statement is folded to a row of fixed size, and only
+    those rows are put in order. What a slice's balances are off by is known only once the slices
+    before it are summed: the slice keeps the distance of its first printed balance from its own
+    running sum, where that line stands, and where the distance first changes.
+    """
+    amount, balance = F.col("amount_cents"), F.col("balance_after_cents")
+    lines = _dated_lines(ledger).select(
+        "statement_id", "line_no", "amount_cents", "balance_after_cents", "transaction_category",
+        F.col("opening_balance_cents").alias("_opening"),
+        F.floor(F.col("line_no") / LINES_PER_CHUNK).alias("_chunk"),
+        (~F.col("post_date").between(F.col("statement_start_date"), F.col("statement_end_date")))
+        .alias("_outside"),
+        sign_violation(F.col("account_domain"), F.col("transaction_category"), amount)
+        .alias("_sign"),
+    )
+    so_far = (
+        W.partitionBy("statement_id", "_chunk").orderBy("line_no")
+        .rowsBetween(W.unboundedPreceding, 0)
+    )
+    apart = lines.withColumn("_apart", balance - F.sum(amount).over(so_far)).withColumn(
+        "_first_apart", F.first("_apart", ignorenulls=True).over(so_far)
+    )
+
+    def first_line(condition: Column) -> Column:
+        return F.min(F.when(condition, F.col("line_no")))
+
+    slices = apart.groupBy("statement_id", "_chunk").agg(
+        *_category_sums(),
+        F.max("_opening").alias("_opening"),
+        F.count(balance).alias("_printed"),
+        first_line(balance.isNull()).alias("_missing"),
+        first_line(F.col("_apart").isNotNull()).alias("_first_printed"),
+        F.max("_first_apart").alias("_start"),
+        first_line(F.col("_apart") != F.col("_first_apart")).alias("_changed"),
+        first_line(F.col("_outside")).alias("_outside"),
+        first_line(F.col("_sign") == VALUE).alias("_zero"),
+        first_line(F.col("_sign") == TOKEN).alias("_wrong_sign"),
+    )
+    before = (
+        W.partitionBy("statement_id").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    )
+    placed = slices.withColumn("_before", F.coalesce(F.sum("s_all").over(before), F.lit(0)))
+    off = F.when(F.col("_start") == F.col("_opening") + F.col("_before"), F.col("_changed")) \
+        .otherwise(F.col("_first_printed"))
+    return placed.groupBy("statement_id").agg(
+        *[F.sum(name).cast("bigint").alias(name) for name in _SUMS],
+        F.sum("_printed").alias("printed"),
+        F.min("_missing").alias("missing"),
+        F.min(F.when(F.col("_opening").isNotNull(), off)).alias("off"),
+        *[F.min(name).alias(name[1:]) for name in ("_outside", "_zero", "_wrong_sign")],
+    )
+
+
+def first_findings(ledger: Ledger, allow_out_of_cycle: bool = False) -> DataFrame:
+    """The earliest balance finding of each statement: ``reconcile`` cut to its first row.
+
+    Returns statement_id, rule, stage, seq, code, message of the finding with the smallest
+    (stage, seq, code, message); statements without findings give no row. Lines are read once.
+    """
+    states = (
+        ledger.statements.join(_line_states(ledger), "statement_id", "left")
+        .fillna(0, list(_SUMS))
+        .join(ledger.depository_summaries, "statement_id", "left")
+        .join(ledger.credit_summaries, "statement_id", "left")
+        .join(ledger.brokerage_summaries, "statement_id", "left")
+    )
+    found = []
+
+    def note(failed: Column, rule: str, stage: int, seq: Column, code: str,
+             message: Column) -> None:
+        found.append(F.when(failed, F.struct(
+            F.lit(stage).alias("stage"), seq.cast("bigint").alias("seq"),
+            F.lit(code).alias("code"), message.alias("message"), F.lit(rule).alias("rule"),
+        )))
+
+    for order, rule in enumerate(_statement_rules()):
+        note(rule.failed, rule.name, rule.stage, F.lit(order), rule.code, F.lit(rule.message))
+    broken = F.least("missing", "off")
+    note((F.col("printed") > 0) & broken.isNotNull(), "running_balance", RUNNING, broken, INVARIANT,
+         F.when(F.col("missing") == broken, _UNPRINTED).otherwise(_RUNNING_OFF))
+    if not allow_out_of_cycle:
+        note(F.col("outside").isNotNull(), "post_date", LINES, F.col("outside") * 2, INVARIANT,
+             F.lit(_OUTSIDE))
+    for column, code in (("zero", VALUE), ("wrong_sign", TOKEN)):
+        note(F.col(column).isNotNull(), "category_sign", LINES, F.col(column) * 2 + 1, code,
+             F.lit(_SIGN))
+    return states.select(
+        "statement_id", F.array_min(F.array(*found)).alias("v")
+    ).filter(F.col("v").isNotNull()).select(
+        "statement_id", *[F.col(f"v.{name}") for name in ("rule", "stage", "seq", "code", "message")]
+    )
+
+
 # ---------------------------------------------------------------- persistence contract
 
+# What a key of the fold stands for.
+STATEMENT, ACCOUNT, RUN, RUN_PAYLOAD = "statement", "account", "run", "run_payload"
+PERIOD, NUMBER, LINE, POSITION = "period", "number", "line", "position"
+
+_SIDECARS = ("depository_summaries", "credit_summaries", "brokerage_summaries")
+
 
 def _broken(frame: DataFrame, table: str, key: str, rules: list[tuple[str, Column]]) -> DataFrame:
     hits = F.array_compact(
@@ -390,103 +509,220 @@ def _broken(frame: DataFrame, table: str, key: str, rules: list[tuple[str, Colum
     )
 
 
-def _duplicates(frame: DataFrame, table: str, columns: list[str]) -> DataFrame:
-    counted = frame.groupBy(*columns).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
-    return counted.select(
-        F.lit(table).alias("table"), F.concat_ws("|", *columns).alias("key"),
-        F.lit("duplicate_" + "_".join(columns)).alias("rule"),
+def _any_below_zero(*names: str) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(n) < 0 for n in names])
+
+
+def _key(kind: str, *columns: str) -> Column:
+    return F.struct(
+        F.lit(kind).alias("kind"), F.array(*[F.col(c).cast("string") for c in columns]).alias("key")
+    )
+
+
+# One bit of an entry for the table it comes from and for each fact about its row.
+_SOURCES = ("statements", *_SIDECARS, "transactions", "holdings", "accounts", "runs")
+_FLAGS = ("is_depository", "is_card", "is_brokerage", "is_other", "no_domain", "period_inverted",
+          "net_change", "depository_bucket_negative", "card_bucket_negative", "due_date_missing",
+          "half_portfolio", "currency", "type_outside_domain")
+_BITS = {name: 1 << place for place, name in enumerate((*_SOURCES, *_FLAGS))}
+_VALUES = ("opening", "closing", "previous", "new", "opening_cash", "closing_cash")
+
+
+def _is_set(bits: str, name: str) -> Column:
+    return F.col(bits).bitwiseAND(F.lit(_BITS[name]).cast("bigint")) != 0
+
+
+def _entries(frame: DataFrame, source: str, keys: list[Column],
+             flags: dict[str, Column] | None = None, values: dict[str, Column] | None = None
+             ) -> DataFrame:
+    """A table's rows once under each of their keys: source and facts as bits, and balances."""
+    bits = F.lit(_BITS[source]).cast("bigint")
+    for name, flag in (flags or {}).items():
+        bits = bits + F.when(flag, F.lit(_BITS[name])).otherwise(F.lit(0)).cast("bigint")
+    values = values or {}
+    return frame.select(
+        F.explode(F.array(*keys)).alias("k"), bits.alias("bits"),
+        *[values.get(name, F.lit(None)).cast("bigint").alias(name) for name in _VALUES],
+    ).select("k.*", "bits", *_VALUES)
+
+
+def _contract_entries(ledger: Ledger, runs: DataFrame) -> DataFrame:
+    c = F.col
+    domain = c("account_domain")
+    tables = [
+        _entries(ledger.statements, "statements", [
+            _key(STATEMENT, "statement_id"), _key(ACCOUNT, "account_id"), _key(RUN, "run_id"),
+            _key(RUN_PAYLOAD, "run_id", "raw_payload_id"),
+            _key(PERIOD, "account_id", "statement_start_date", "statement_end_date", "run_id"),
+        ], {
+            "is_depository": domain == DEPOSITORY, "is_card": domain == CARD,
+            "is_brokerage": domain == BROKERAGE,
+            "is_other": ~domain.isin(DEPOSITORY, CARD, BROKERAGE), "no_domain": domain.isNull(),
+            "period_inverted": c("statement_start_date") > c("statement_end_date"),
+            "net_change":
+                c("net_change_cents") != c("closing_balance_cents") - c("opening_balance_cents"),
+        }, {"opening": c("opening_balance_cents"), "closing": c("closing_balance_cents")}),
+        _entries(ledger.depository_summaries, "depository_summaries",
+                 [_key(STATEMENT, "statement_id")], {
+            "depository_bucket_negative": _any_below_zero(
+                "deposits_cents", "withdrawals_cents", "interest_paid_cents", "fees_cents"),
+        }),
+        _entries(ledger.credit_summaries, "credit_summaries", [_key(STATEMENT, "statement_id")], {
+            "card_bucket_negative": _any_below_zero(
+                "payments_credits_cents", "purchases_cents", "cash_advances_cents",
+                "balance_transfers_cents", "fees_charged_cents", "interest_charged_cents",
+                "minimum_payment_due_cents"),
+            "due_date_missing": c("payment_due_date").isNull(),
+        }, {"previous": c("previous_balance_cents"), "new": c("new_balance_cents")}),
+        _entries(ledger.brokerage_summaries, "brokerage_summaries",
+                 [_key(STATEMENT, "statement_id")], {
+            "half_portfolio": c("opening_portfolio_cents").isNull()
+                != c("closing_portfolio_cents").isNull(),
+        }, {"opening_cash": c("opening_cash_cents"), "closing_cash": c("closing_cash_cents")}),
+        _entries(ledger.transactions, "transactions",
+                 [_key(STATEMENT, "statement_id"), _key(LINE, "transaction_id")]),
+        _entries(ledger.holdings, "holdings",
+                 [_key(STATEMENT, "statement_id"), _key(POSITION, "holding_id")]),
+        _entries(ledger.accounts, "accounts",
+                 [_key(ACCOUNT, "account_id"),
+                  _key(NUMBER, "institution", "account_mask", "account_type")], {
+            "currency": c("currency") != "USD",
+            "type_outside_domain": ~domain_of_type(c("account_type")).eqNullSafe(domain),
+        }),
+        _entries(runs.filter(c("raw_payload_id").isNotNull()), "runs",
+                 [_key(RUN, "run_id"), _key(RUN_PAYLOAD, "run_id", "raw_payload_id")]),
+    ]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _broken_keys(ledger: Ledger, runs: DataFrame) -> DataFrame:
+    """Keys that break a rule: kind, key, findings (table, rule), and whether its parent is absent.
+
+    All tables are folded by key in one shuffle with map-side combine. States have a fixed size:
+    bits, counts of the tables that hold a key once, and the bounds of the balances (two sets of
+    balances agree in every pair where the least of each is the greatest of the other).
+    """
+    owners = (F.col("kind").isin(STATEMENT, PERIOD) & _is_set("bits", "statements")) \
+        | (F.col("kind").isin(ACCOUNT, NUMBER) & _is_set("bits", "accounts")) \
+        | F.col("kind").isin(LINE, POSITION)
+    states = _contract_entries(ledger, runs).groupBy("kind", "key").agg(
+        F.bit_or("bits").alias("bits"),
+        F.count(F.when(owners, 1)).alias("n_owner"),
+        *[F.count(F.when(_is_set("bits", name), 1)).alias(f"n_{name}") for name in _SIDECARS],
+        *[F.min(name).alias(f"{name}_low") for name in _VALUES],
+        *[F.max(name).alias(f"{name}_high") for name in _VALUES],
     )
+    c = F.col
+    there = {name: _is_set("bits", name) for name in _BITS}
 
+    def differ(a: str, b: str) -> Column:
+        return (c(f"{a}_low") != c(f"{b}_high")) | (c(f"{a}_high") != c(f"{b}_low"))
 
-def _orphans(frame: DataFrame, table: str, key: str, parent: DataFrame, column: str) -> DataFrame:
-    return frame.join(parent.select(column), column, "left_anti").select(
-        F.lit(table).alias("table"), F.col(key).alias("key"),
-        F.lit(f"{column}_unknown").alias("rule"),
+    has = dict(zip(("is_depository", "is_card", "is_brokerage"), (there[s] for s in _SIDECARS)))
+    missing = reduce(lambda a, b: a | b, [there[kind] & ~held for kind, held in has.items()])
+    foreign = reduce(lambda a, b: a | b, [
+        held & reduce(lambda x, y: x | y, [there[k] for k in (*has, "is_other") if k != kind])
+        for kind, held in has.items()
+    ])
+    statement = (c("kind") == STATEMENT) & there["statements"]
+    found = [
+        ("statements", rule, statement & failed) for rule, failed in [
+            ("own_sidecar_missing", missing | there["is_other"] | there["no_domain"]),
+            ("foreign_sidecar", foreign),
+            ("card_balances_differ", differ("opening", "previous") | differ("closing", "new")),
+            ("cash_balances_differ",
+             differ("opening", "opening_cash") | differ("closing", "closing_cash")),
+            ("holdings_outside_brokerage",
+             there["holdings"]
+             & (there["is_depository"] | there["is_card"] | there["is_other"])),
+            *[(rule, there[rule]) for rule in (
+                "period_inverted", "net_change", "depository_bucket_negative",
+                "card_bucket_negative", "due_date_missing", "half_portfolio")],
+            ("duplicate_statement_id", c("n_owner") > 1),
+        ]
+    ]
+    found += [("accounts", rule, (c("kind") == ACCOUNT) & there[rule])
+              for rule in ("currency", "type_outside_domain")]
+    found += [(table, f"duplicate_{'_'.join(columns)}", (c("kind") == kind) & (c("n_owner") > 1))
+              for table, kind, columns in [
+        ("statements", PERIOD,
+         ("account_id", "statement_start_date", "statement_end_date", "run_id")),
+        ("accounts", NUMBER, ("institution", "account_mask", "account_type")),
+        ("accounts", ACCOUNT, ("account_id",)),
+        ("transactions", LINE, ("transaction_id",)),
+        ("holdings", POSITION, ("holding_id",)),
+    ]]
+    lost = (c("kind") == STATEMENT) & (~there["statements"] | c("key")[0].isNull())
+    for name in _SIDECARS:
+        twice = (c("kind") == STATEMENT) & (c(f"n_{name}") > 1)
+        found += [(name, "duplicate_statement_id", twice),
+                  (name, "statement_id_unknown", lost & there[name])]
+    unknown = (
+        ((c("kind") == STATEMENT) & ~there["statements"])
+        | ((c("kind") == ACCOUNT) & ~there["accounts"])
+        | (c("kind").isin(RUN, RUN_PAYLOAD) & ~there["runs"])
+    )
+    findings = F.array_compact(F.array(*[
+        F.when(failed, F.struct(F.lit(table).alias("table"), F.lit(rule).alias("rule")))
+        for table, rule, failed in found
+    ]))
+    return states.select("kind", "key", findings.alias("findings"), unknown.alias("unknown")).filter(
+        (F.size("findings") > 0) | c("unknown")
     )
 
 
 def check_persistence_contract(ledger: Ledger, runs: DataFrame) -> DataFrame:
-    """Rules a write must meet: sidecars, keys, references and value limits, as (table, key, rule)."""
+    """Rules a write must meet: sidecars, keys, references and value limits, as (table, key, rule).
+
+    A key that breaks a rule of statements, accounts, sidecars or uniqueness gives one row for that
+    rule, however many rows bear it; a line or position gives one for each of its rows. A null
+    reference is unknown. Every table is read at most twice: once to fold all keys, the broken ones
+    of which are staged, once to name the rows that refer to those or break a rule of their own.
+    """
     c = F.col
-    dep = ledger.depository_summaries.withColumn("has_dep", F.lit(True))
-    card = ledger.credit_summaries.withColumn("has_card", F.lit(True))
-    brok = ledger.brokerage_summaries.withColumn("has_brok", F.lit(True))
-    owned = ledger.holdings.select("statement_id").distinct().withColumn("has_pos", F.lit(True))
-    run_payloads = runs.select("run_id", c("raw_payload_id").alias("run_payload_id"))
-    wide = (
-        ledger.statements.join(dep, "statement_id", "left").join(card, "statement_id", "left")
-        .join(brok, "statement_id", "left").join(owned, "statement_id", "left")
-        .join(run_payloads, "run_id", "left")
-    )
-    has = {DEPOSITORY: c("has_dep"), CARD: c("has_card"), BROKERAGE: c("has_brok")}
-    own = reduce(
-        lambda a, b: a | b,
-        [(c("account_domain") == d) & F.coalesce(flag, F.lit(False)) for d, flag in has.items()],
+    broken = staged(_broken_keys(ledger, runs), "contract")
+    named = broken.select(F.explode("findings").alias("f"), "key").select(
+        "f.table", F.concat_ws("|", "key").alias("key"), "f.rule"
     )
-    foreign = reduce(
-        lambda a, b: a | b,
-        [(c("account_domain") != d) & F.coalesce(flag, F.lit(False)) for d, flag in has.items()],
+
+    def absent(kind: str, flag: str, *columns: str) -> DataFrame:
+        return broken.filter((c("kind") == kind) & c("unknown")).select(
+            *[c("key")[i].alias(name) for i, name in enumerate(columns)], F.lit(True).alias(flag)
+        )
+
+    lines = ledger.transactions.select(
+        "transaction_id", "statement_id", "amount_cents", "description", "transaction_category"
+    ).join(absent(STATEMENT, "_lost", "statement_id"), "statement_id", "left")
+    positions = ledger.holdings.select(
+        "holding_id", "statement_id", "quantity_nanos", "symbol", "description"
+    ).join(absent(STATEMENT, "_lost", "statement_id"), "statement_id", "left")
+    statements = (
+        ledger.statements.select("statement_id", "account_id", "run_id", "raw_payload_id")
+        .join(absent(ACCOUNT, "_no_account", "account_id"), "account_id", "left")
+        .join(absent(RUN, "_no_run", "run_id"), "run_id", "left")
+        .join(absent(RUN_PAYLOAD, "_other_payload", "run_id", "raw_payload_id"),
+              ["run_id", "raw_payload_id"], "left")
     )
-    below_zero = lambda *names: reduce(lambda a, b: a | b, [c(n) < 0 for n in names])
-    statements = _broken(wide, "statements", "statement_id", [
-        ("own_sidecar_missing", ~own),
-        ("foreign_sidecar", foreign),
-        ("card_balances_differ",
-         (c("opening_balance_cents") != c("previous_balance_cents"))
-         | (c("closing_balance_cents") != c("new_balance_cents"))),
-        ("cash_balances_differ",
-         (c("opening_balance_cents") != c("opening_cash_cents"))
-         | (c("closing_balance_cents") != c("closing_cash_cents"))),
-        ("holdings_outside_brokerage", c("has_pos") & (c("account_domain") != BROKERAGE)),
-        ("run_unknown", c("run_payload_id").isNull()),
-        ("payload_differs_from_run", c("raw_payload_id") != c("run_payload_id")),
-        ("period_inverted", c("statement_start_date") > c("statement_end_date")),
-        ("net_change",
-         c("net_change_cents") != c("closing_balance_cents") - c("opening_balance_cents")),
-        ("depository_bucket_negative",
-         below_zero("deposits_cents", "withdrawals_cents", "interest_paid_cents", "fees_cents")),
-        ("card_bucket_negative",
-         below_zero("payments_credits_cents", "purchases_cents", "cash_advances_cents",
-                    "balance_transfers_cents", "fees_charged_cents", "interest_charged_cents",
-                    "minimum_payment_due_cents")),
-        ("due_date_missing", c("has_card") & c("payment_due_date").isNull()),
-        ("half_portfolio",
-         c("has_brok") & (c("opening_portfolio_cents").isNull()
-                          != c("closing_portfolio_cents").isNull())),
-    ])
-    known = required_sign(F.lit(DEPOSITORY), c("transaction_category")).isNotNull() \
-        | required_sign(F.lit(CARD), c("transaction_category")).isNotNull() \
-        | required_sign(F.lit(BROKERAGE), c("transaction_category")).isNotNull()
-    transactions = _broken(ledger.transactions, "transactions", "transaction_id", [
-        ("amount_zero", c("amount_cents") == 0),
-        ("description_empty", F.length("description") < 1),
-        ("category_unknown", ~known),
-    ])
-    holdings = _broken(ledger.holdings, "holdings", "holding_id", [
-        ("quantity_zero", c("quantity_nanos") == 0),
-        ("symbol_empty", F.length("symbol") < 1),
-        ("description_empty", F.length("description") < 1),
-    ])
-    accounts = _broken(ledger.accounts, "accounts", "account_id", [
-        ("currency", c("currency") != "USD"),
-        ("type_outside_domain", ~domain_of_type(c("account_type")).eqNullSafe(c("account_domain"))),
-    ])
+    no_run = c("run_id").isNull() | F.coalesce("_no_run", F.lit(False))
+    orphan = ("statement_id_unknown", c("statement_id").isNull() | c("_lost"))
     pieces = [
-        statements, transactions, holdings, accounts,
-        _orphans(ledger.transactions, "transactions", "transaction_id", ledger.statements,
-                 "statement_id"),
-        _orphans(ledger.holdings, "holdings", "holding_id", ledger.statements, "statement_id"),
-        _orphans(ledger.statements, "statements", "statement_id", ledger.accounts, "account_id"),
-        _duplicates(ledger.statements, "statements",
-                    ["account_id", "statement_start_date", "statement_end_date", "run_id"]),
-        _duplicates(ledger.accounts, "accounts", ["institution", "account_mask", "account_type"]),
-        _duplicates(ledger.transactions, "transactions", ["transaction_id"]),
-        _duplicates(ledger.holdings, "holdings", ["holding_id"]),
+        named,
+        _broken(statements, "statements", "statement_id", [
+            ("account_id_unknown", c("account_id").isNull() | c("_no_account")),
+            ("run_unknown", no_run),
+            ("payload_differs_from_run", ~no_run & c("_other_payload")),
+        ]),
+        _broken(lines, "transactions", "transaction_id", [
+            orphan,
+            ("amount_zero", c("amount_cents") == 0),
+            ("description_empty", F.length("description") < 1),
+            ("category_unknown", ~c("transaction_category").isin(*CATEGORIES)),
+        ]),
+        _broken(positions, "holdings", "holding_id", [
+            orphan,
+            ("quantity_zero", c("quantity_nanos") == 0),
+            ("symbol_empty", F.length("symbol") < 1),
+            ("description_empty", F.length("description") < 1),
+        ]),
     ]
-    for name in ("depository_summaries", "credit_summaries", "brokerage_summaries"):
-        frame = getattr(ledger, name)
-        pieces.append(_orphans(frame, name, "statement_id", ledger.statements, "statement_id"))
-        pieces.append(_duplicates(frame, name, ["statement_id"]))
     return reduce(DataFrame.unionByName, pieces).withColumn("code", F.lit(PERSISTENCE))
-
-

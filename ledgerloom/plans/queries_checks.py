@@ -243,7 +243,9 @@ def mixed_faults(spark, sf_dir) -> Ledger:
 
 
 def _failures(spark, sf_dir) -> DataFrame:
-    findings = V.reconcile(mixed_faults(spark, sf_dir)).withColumnRenamed("statement_id", "doc_id")
+    findings = V.first_findings(mixed_faults(spark, sf_dir)).withColumnRenamed(
+        "statement_id", "doc_id"
+    )
     return OUT.first_failure(findings.select("doc_id", "stage", "seq", "code", "message"))
 
 

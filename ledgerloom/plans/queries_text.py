@@ -498,7 +498,7 @@ def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parse_failures(spark, sf_dir):
     """First failure of each damaged document; refused documents carry the match code."""
     parsed = parse_statements(damaged(spark, sf_dir))
-    failed = first_failure(all_violations(parsed)).select("doc_id", "code")
+    failed = first_failure(all_violations(parsed, earliest=True)).select("doc_id", "code")
     return failed.unionByName(parsed.refused.select("doc_id", F.col("error_code").alias("code")))
 
 
