@@ -32,6 +32,7 @@ STREET_WORDS = (
 )
 MONEY_WORDS = "amount|balance|payment|charge|fee|total"
 
+# What each pattern finds, in the order of PATTERN_NAMES.
 _SSN = r"\b\d{3}-\d{2}-\d{4}\b"
 # An address starts where its run of local-part characters starts, or where the last match
 # ended. Saying so keeps long unbroken runs linear.

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.redact import ROW_PII_NAMES
 from ledgerloom.functions.tokens import WS, strip
 from ledgerloom.operators.ledger_queries import QueryError
 
@@ -17,9 +18,7 @@ ALLOWED_TABLES = (
     "statement_credit_summaries", "statement_depository_summaries", "statements",
     "transactions",
 )
-FORBIDDEN_COLUMNS = (
-    "account_mask", "content_sha256", "description", "original_basename", "page_text",
-)
+FORBIDDEN_COLUMNS = ROW_PII_NAMES
 AGGREGATE_NAMES = ("SUM", "COUNT", "AVG", "MIN", "MAX", "SUM_DISTINCT", "COUNT_DISTINCT")
 INJECTION_PATTERN = (
     r"(?id)(?:--\s|;\s*DROP\s|;\s*ALTER\s|;\s*DELETE\s|;\s*INSERT\s|;\s*UPDATE\s"

@@ -516,6 +516,7 @@ FROM (SELECT *, account_key % 10 AS k FROM dep)) WHERE code IS NOT NULL""")
 
 # ---------------------------------------------------------------- redaction
 
+# The redaction patterns, for the other engine.
 _SQL_PATTERNS = [
     (r"\b\d{3}-\d{2}-\d{4}\b", "[REDACTED]"),
     (r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "[REDACTED]"),
